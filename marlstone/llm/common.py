@@ -55,5 +55,11 @@ def no_space(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WS + "+", "")
 
 
+def turned(key: Column) -> Column:
+    """A long in another form. Joining on it makes Spark shuffle both sides anew, even one that is grouped by the key
+    already; only such joins let adaptive execution split a hot key's partition."""
+    return F.bitwise_not(key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

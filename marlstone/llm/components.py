@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         nearest = both.groupBy("a").agg(F.min(rank("b")).alias("n"))
         parent = cut(nearest.select(F.col("a").alias("node"), F.least(rank("a"), F.col("n")).getField("v").alias("up")), "parents")
         parents.append(parent)
-        up = parent.where("node != up").select((F.col("node") + F.lit(0)).alias("node"), "up")
+        up = parent.where("node != up")  # a table: joins shuffle it, and hot nodes can be split
         moved = links.join(up.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("up", "a").alias("a"), "b")
         moved = moved.join(up.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("up", "b").alias("b"))
         links = cut(moved.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut
+from marlstone.llm.common import cut, turned
 from marlstone.llm.components import components
 
 SHINGLE = 3
@@ -143,8 +143,8 @@ def links(distinct: DataFrame, n: int, bits: int = MAX_BITS) -> DataFrame:
     masks = F.array(*[F.lit(x) for x in _masks(block_count(n, bits), bits)])
     rows = distinct.select("fp", F.posexplode(masks).alias("which", "mask")).select("fp", "which", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
     hot = rows.groupBy("which", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hot = cut(hot, "buckets").select("which", (F.col("key") + F.lit(0)).alias("key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("c"))
-    member = rows.join(hot, ["which", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
+    hot = hot.select("which", turned(F.col("key")).alias("key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("c"))
+    member = rows.withColumn("key", turned(F.col("key"))).join(hot, ["which", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
     unit = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda x: F.struct(F.least(F.col("own"), x).alias("i"), F.greatest(F.col("own"), x).alias("j")))
     units = member.select("which", "key", "fp", F.explode(unit).alias("u")).select("which", "key", "u.i", "u.j", "fp")
     units = units.repartition("which", "key", "i", "j").sortWithinPartitions("which", "key", "i", "j")
@@ -158,14 +158,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     root = components(links(distinct.select("fp"), distinct.count(), bits))
     rooted = cut(distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.select("fp", "root").join(least.select((F.col("root") + F.lit(0)).alias("root"), "component_id"), "root").select((F.col("fp") + F.lit(0)).alias("fp"), "component_id")
+    of = rooted.select("fp", turned(F.col("root")).alias("r")).join(least.select(turned(F.col("root")).alias("r"), "component_id"), "r").select("fp", "component_id")
+    of = cut(of, "fingerprint-components")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, one of each group: that with the smallest id."""
     groups = cut(simhash_groups(docs, id_col, text_col), "near-groups")
-    gone = groups.where("doc_id != component_id").select((F.col("doc_id") + F.lit(0)).alias("__ms_gone")).distinct()
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__ms_gone")).distinct()
+    gone = cut(gone, "near-copies")
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__ms_gone"), "left_anti")
 
 
