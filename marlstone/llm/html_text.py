@@ -233,7 +233,7 @@ def main_text(html: str | None) -> str:
     nodes, events = parse(html)
     densities(nodes, events)
     choose(nodes)
-    blocks, held, depth = [], [], 0
+    blocks, held, depth = [], [], int(nodes[0].keep)  # the root has no events of its own
 
     def flush() -> None:
         if held:
