@@ -11,7 +11,8 @@ than others.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and fits no entry; such URLs, and all that fit
 none, get the default verdict; an entry listed twice with different verdicts blocks; an empty list leaves the default to
-all; an empty table gives an empty result. Extra columns pass through ``filter_urls`` unchanged.
+all; an empty table gives an empty result. Extra columns pass through ``filter_urls``, but those that have a result
+column's name give way to it.
 """
 
 from __future__ import annotations
@@ -74,6 +75,7 @@ def matches(urls: DataFrame, listed: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, by_rule: DataFrame, listed: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict: the longest rule's verdict, else the longest listed entry's, else the default."""
+    pages = pages.drop("host", "path", "rule", "verdict")
     split = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
     parts = split.select("host", "path")
     found = cut(matches(parts, by_rule).join(matches(parts, listed).select("host", "path", F.col("rule_verdict").alias("list_verdict")), ["host", "path"], "full"), "url-hits")
