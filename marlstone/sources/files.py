@@ -174,6 +174,7 @@ def images(df: DataFrame, ocr: Ocr | None = None) -> DataFrame:
 
 def report(docs: DataFrame, title: str, path: str, order: str = "id") -> None:
     """A Markdown file of documents, one section each, in one task: a report of a bounded result."""
-    lines = docs.orderBy(order).select(F.concat(F.lit("## "), F.col("id").cast("string"), F.lit("\n\n"), F.coalesce("content", F.lit(""))).alias("value"))
-    head = docs.sparkSession.createDataFrame([(f"# {title}",)], "value string")
-    head.unionByName(lines).coalesce(1).write.mode("overwrite").option("lineSep", "\n\n").text(path)
+    lines = docs.select(F.lit(1).alias("part"), F.col(order).alias("at"), F.concat(F.lit("## "), F.col("id").cast("string"), F.lit("\n\n"), F.coalesce("content", F.lit(""))).alias("value"))
+    head = docs.sparkSession.createDataFrame([(0, f"# {title}")], "part int, value string").withColumn("at", F.lit(None).cast(lines.schema["at"].dataType))
+    whole = head.unionByName(lines).repartition(1).sortWithinPartitions("part", "at").select("value")
+    whole.write.mode("overwrite").option("lineSep", "\n\n").text(path)
