@@ -218,3 +218,34 @@ def insert(documents: DataFrame, batch: DataFrame) -> DataFrame:
     checked = batch.withColumn("content", F.coalesce(F.col("content"), F.raise_error(F.lit("document without content"))))
     ids = F.coalesce(F.col("id"), X.stable_id(F.col("content"))) if "id" in batch.columns else X.stable_id(F.col("content"))
     return upsert(documents, prepare(checked.withColumn("id", ids)))
+
+
+def insert_batch(documents: DataFrame, quads: DataFrame, batch: DataFrame, embedder: Embedder) -> tuple[DataFrame, DataFrame]:
+    """Insert or replace with embeddings, and an ``is_document`` edge of each id with itself."""
+    from marlstone.config import IS_DOCUMENT
+    from marlstone.operators.collections import COMPLETED, replace
+    from marlstone.operators.hooks import embed_column
+
+    made = batch.withColumns({"embedding": embed_column(embedder)(F.col("content")), "embedding_status": F.lit(COMPLETED)})
+    edges = batch.select(F.col("id").alias("subject"), F.lit(IS_DOCUMENT).alias("predicate"), F.col("id").alias("object"))
+    return replace(documents, made), graph.link(quads, edges)
+
+
+def retriever(kb: KnowledgeBase, mode: str = "hybrid", limit: int = RETRIEVE_LIMIT, *transformers):
+    """A function from a query to documents with the score in their metadata, through optional transformers."""
+    from marlstone.operators.hooks import transform_documents
+
+    def retrieve(query: str) -> DataFrame:
+        found = kb.retrieve(query, mode, limit)
+        scored = J.merge(F.coalesce(F.col("metadata"), F.lit("{}")), F.to_json(F.struct("score")))
+        return transform_documents(found.withColumn("metadata", scored), *transformers)
+
+    return retrieve
+
+
+def fields_to_embed(docs: DataFrame, fields: list[str], batch: int) -> DataFrame:
+    """A row for each document and field with a text; more fields than a batch holds is an error."""
+    if len(fields) > batch:
+        raise ValueError(f"{len(fields)} fields to embed, a batch holds {batch}")
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields])
+    return docs.select("id", F.explode(pairs).alias("p")).select("id", "p.field", "p.text").where("trim(coalesce(text, '')) != ''")

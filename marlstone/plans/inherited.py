@@ -94,3 +94,68 @@ def asof_events_orders(spark, sf_dir):
 def top_line_of_order(spark, sf_dir):
     line = parquet(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct((-F.col("l_extendedprice")).alias("p"), "l_linenumber")).alias("m"))
     return parquet(spark, sf_dir, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("m.l_linenumber").alias("l_linenumber"))
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), ())")
+def grouping_sets(spark, sf_dir):
+    parquet(spark, sf_dir, "orders").createOrReplaceTempView("ms_orders")
+    return spark.sql("SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM ms_orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderstatus), ())")
+
+
+@query("SELECT l_shipdate::DATE AS day, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ALL HAVING count(*) > 20")
+def filtered_aggregate(spark, sf_dir):
+    rows = parquet(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("day"))
+    return rows.agg(F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_distinct("l_suppkey").alias("suppliers"), F.count(F.lit(1)).alias("n")).where("n > 20").drop("n")
+
+
+@query("SELECT coalesce(c_nationkey, s_nationkey) AS nation, c, s FROM (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_acctbal > 5000 GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS s FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) ON c_nationkey = s_nationkey")
+def full_outer_join(spark, sf_dir):
+    c = parquet(spark, sf_dir, "customer").where("c_acctbal > 5000").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("c"))
+    s = parquet(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("s"))
+    return c.join(s, F.col("c_nationkey") == F.col("s_nationkey"), "full").select(F.coalesce("c_nationkey", "s_nationkey").alias("nation"), "c", "s")
+
+
+@query("SELECT p_partkey, field, value FROM (UNPIVOT (SELECT p_partkey, p_size::DOUBLE AS p_size, p_retailprice FROM part) ON p_size, p_retailprice INTO NAME field VALUE value)")
+def unpivot_part(spark, sf_dir):
+    rows = parquet(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    return rows.unpivot("p_partkey", ["p_size", "p_retailprice"], "field", "value")
+
+
+@query("SELECT o_orderkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY")
+def range_join_dates(spark, sf_dir):
+    o, line = parquet(spark, sf_dir, "orders"), parquet(spark, sf_dir, "lineitem")
+    return o.join(line, (F.col("o_orderkey") == F.col("l_orderkey")) & F.col("l_shipdate").between(F.col("o_orderdate"), F.col("o_orderdate") + F.expr("INTERVAL 30 DAY"))).select("o_orderkey", "l_linenumber")
+
+
+@query("SELECT event_id, s_suppkey FROM events JOIN supplier ON value BETWEEN s_acctbal / 100 AND s_acctbal / 100 + 0.5")
+def range_join_bands(spark, sf_dir):
+    """A band join by buckets of the band's width: each band meets two buckets, and the bounds are checked after."""
+    width = 0.5
+    e = parquet(spark, sf_dir, "events").select("event_id", "value", F.floor(F.col("value") / width).alias("b"))
+    s = parquet(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("lo"))
+    s = s.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("lo") + width) / width))))
+    return e.join(s, "b").where(F.col("value").between(F.col("lo"), F.col("lo") + width)).select("event_id", "s_suppkey")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) WHERE c_acctbal > 9000")
+def lateral_top_orders(spark, sf_dir):
+    parquet(spark, sf_dir, "customer").createOrReplaceTempView("ms_customer")
+    parquet(spark, sf_dir, "orders").createOrReplaceTempView("ms_orders")
+    return spark.sql("SELECT c_custkey, o_orderkey FROM ms_customer, LATERAL (SELECT o_orderkey FROM ms_orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) WHERE c_acctbal > 9000")
+
+
+@query("WITH RECURSIVE t(n, f) AS (SELECT 1, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
+def recursive_cte(spark, sf_dir):
+    return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'click' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def set_union(spark, sf_dir):
+    clicks = parquet(spark, sf_dir, "events").where("event_type = 'click'").select("user_id")
+    return clicks.union(parquet(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey")).distinct()
+
+
+@query("SELECT event_id, user_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 1 HOUR AS pause, ntile(4) OVER (PARTITION BY event_type ORDER BY value, event_id)::INT AS quarter FROM events")
+def lag_and_ntile(spark, sf_dir):
+    by_user, by_type = W.partitionBy("user_id").orderBy("ts", "event_id"), W.partitionBy("event_type").orderBy("value", "event_id")
+    return parquet(spark, sf_dir, "events").select("event_id", "user_id", (F.col("ts") - F.lag("ts").over(by_user) > F.expr("INTERVAL 1 HOUR")).alias("pause"), F.ntile(4).over(by_type).alias("quarter"))
