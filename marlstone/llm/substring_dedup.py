@@ -3,9 +3,10 @@
 A window is ``WINDOW`` consecutive words. ``COVER`` is a difference cover modulo ``PERIOD``: for any two positions there is
 a shift below ``PERIOD`` that takes both to residues in ``COVER``. So if two documents share a window, they share a hash of
 ``WINDOW - PERIOD + 1`` words at positions that both lie on the cover: an aligned anchor. Only these positions are hashed
-(6 of 31), anchors are grouped, and those that start in two documents are kept in a filter. Then the match is extended: a
-window that holds a kept anchor is hashed whole (128 bits), each such hash gets the smallest document it starts in, and
-the words of a window whose hash starts in a smaller document go.
+(6 of 31), anchors are grouped, and those that start in two different texts are kept in a filter. Then the match is
+extended: a window that holds a kept anchor is hashed whole (128 bits), each such hash gets the smallest document it starts
+in, and the words of a window whose hash starts in a smaller document go. Copies of a whole text are found by its hash; all
+of a copy's windows start in the smallest of its documents, so it goes whole and its windows need no hashing.
 
 The filter is a Bloom filter in blocks of 4 KiB with three bits for each kept anchor; it only saves work, a false hit costs
 a few hashed windows. It is sized by a count and at most ``FILTER_BYTES`` long. Where that gives fewer than ``LEAST_BITS``
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut
+from marlstone.llm.common import cut, turned
 
 WINDOW = 50
 PERIOD = 31
@@ -119,7 +120,7 @@ def _flush(rows: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBat
 
 
 def _anchors(window: int, period: int, cover: tuple[int, ...]):
-    """Distinct anchors of each document."""
+    """Distinct anchors of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan, rows, held = Scanner(window, period, cover), [], 0
@@ -131,10 +132,10 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
                 rows.append((a, np.full(len(a), doc.as_py(), np.int64)))
                 held += len(a)
                 if held > 100_000:
-                    yield _flush(rows, ["anchor", "doc_id"])
+                    yield _flush(rows, ["anchor", "row_key"])
                     rows, held = [], 0
         if rows:
-            yield _flush(rows, ["anchor", "doc_id"])
+            yield _flush(rows, ["anchor", "row_key"])
 
     return run
 
@@ -212,15 +213,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     """doc_id, row_key and the starts (array) of windows that also start in a smaller document; docs: doc_id, row_key, text."""
     spark = docs.sparkSession
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    anchors = known.select("doc_id", "text").mapInArrow(_anchors(window, period, cover), "anchor long, doc_id long")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    anchors = known.select("row_key", "text").mapInArrow(_anchors(window, period, cover), "anchor long, row_key long")
+    # Anchors of one text and its copies are none that texts share; copies are found by their whole text.
+    shared = anchors.groupBy("anchor").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi")).where("lo < hi").select("anchor")
     shared = cut(shared, "anchors")
     n = shared.count()
     schema = "doc_id long, row_key long, at int, h1 long, h2 long"
     if n * LEAST_BITS > filter_bytes * 8:
         places = known.select("doc_id", "row_key", "text").mapInArrow(_anchor_places(window, period, cover), "anchor long, doc_id long, row_key long, at int")
-        kept = places.join(shared.select((F.col("anchor") + F.lit(0)).alias("anchor")), "anchor", "left_semi")
-        kept = kept.groupBy((F.col("doc_id") + F.lit(0)).alias("doc_id"), "row_key").agg(F.collect_set("at").alias("places"))
+        kept = places.withColumn("anchor", turned(F.col("anchor"))).join(shared.select(turned(F.col("anchor")).alias("anchor")), "anchor", "left_semi")
+        kept = kept.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("places"))
         found = known.join(kept, ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "places").mapInArrow(_windows(window, period, cover), schema)
     else:
         blocks = min(filter_bytes * 8 // BLOCK_BITS, max(1, -(-n * BITS_PER_ANCHOR // BLOCK_BITS)))
@@ -235,18 +237,30 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
         found = known.select("doc_id", "row_key", "text").mapInArrow(_windows(window, period, cover, bloom), schema)
     found = cut(found, "windows")
     first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    first = first.select((F.col("h1") + F.lit(0)).alias("h1"), (F.col("h2") + F.lit(0)).alias("h2"), "lo")
-    later = found.join(first, ["h1", "h2"]).where("doc_id > lo")
+    first = first.select(turned(F.col("h1")).alias("h1"), turned(F.col("h2")).alias("h2"), "lo")
+    later = found.withColumns({"h1": turned(F.col("h1")), "h2": turned(F.col("h2"))}).join(first, ["h1", "h2"]).where("doc_id > lo")
     return later.groupBy("doc_id", "row_key").agg(F.collect_set("at").alias("at"))
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id, row_key of documents whose whole text is that of a smaller document."""
+    keys = cut(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "row_key", F.sha2("text", 256).alias("d")), "texts")
+    first = keys.groupBy("d").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.unhex("d").alias("b"), "lo")
+    return keys.withColumn("b", F.unhex("d")).join(first, "b").where("doc_id > lo").select("doc_id", "row_key").distinct()
+
+
 def _kept(window: int, as_text: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc, text, at in zip(batch["doc_id"], batch["text"], batch["at"], strict=True):
                 of = words(text)
-                gone = removal(len(of), np.asarray(at, np.int64), window) if at is not None else np.zeros(len(of), bool)
+                if at is None or len(of) < window:
+                    gone = np.zeros(len(of), bool)
+                elif len(at) == 0:  # a copy: all its windows start in the smaller document
+                    gone = np.ones(len(of), bool)
+                else:
+                    gone = removal(len(of), np.asarray(at, np.int64), window)
                 kept = b" ".join([w for w, g in zip(of, gone.tolist(), strict=True) if not g])
                 out.append((doc, len(of), int(gone.sum()), kept.decode("utf-8", "surrogatepass") if as_text else hashlib.sha256(kept).hexdigest()))
             frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept"])
@@ -260,7 +274,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_words, n_removed and what is left: kept (words joined by one space), or kept_sha256 of it."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("row_key"), F.col(text_col).cast("string").alias("text"))
     at = repeated_windows(slim, window, period, cover, filter_bytes)
-    at = cut(at, "repeated").select((F.col("doc_id") + F.lit(0)).alias("doc_id"), "row_key", "at")
+    whole = cut(copies(slim), "copies")
+    at = at.join(whole, ["doc_id", "row_key"], "left_anti").unionByName(whole.withColumn("at", F.array().cast("array<int>")))
+    at = cut(at, "repeated")
     joined = slim.join(at, ["doc_id", "row_key"], "left").select("doc_id", "text", "at")
     last = "kept_sha256" if digest else "kept"
     return joined.mapInPandas(_kept(window, not digest), "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("kept", last)
