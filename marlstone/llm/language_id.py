@@ -41,12 +41,10 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def _logs(counts: dict[str, list[int]]) -> dict[str, np.ndarray]:
-    """Smoothed log share of each entry in its language."""
-    if not counts:
-        return {}
+def _logs(counts: dict[str, list[int]]) -> np.ndarray:
+    """Smoothed log share of each entry in its language, a row an entry."""
     table = np.array(list(counts.values()), np.float64)
-    return dict(zip(counts, np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table))).astype(np.float32), strict=True))
+    return np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * len(table))) if counts else table
 
 
 class Model:
@@ -65,37 +63,49 @@ class Model:
                     of = grams[size]
                     for i in range(len(padded) - size + 1):
                         of.setdefault(padded[i : i + size], [0] * k)[j] += n
-        self.words = _logs(rows)
-        self.grams = [_logs(g) for g in grams]
+        self.words = {w: i for i, w in enumerate(rows)}
+        self.table = _logs(rows).astype(np.float32)
+        self.grams = [dict(zip(g, map(tuple, _logs(g).tolist()), strict=True)) for g in grams]
 
-    def unseen(self, word: str) -> np.ndarray:
+    def unseen(self, word: str) -> list[float]:
         padded = f"^{word}$"
         for size in range(min(LONGEST, len(padded)), 0, -1):
             known = self.grams[size]
             found = [known[x] for i in range(len(padded) - size + 1) if (x := padded[i : i + size]) in known]
             if found:
-                return np.mean(found, axis=0) + np.float32(STEP * (LONGEST + 1 - size))
-        return np.zeros(len(self.langs), np.float32)
+                cost = STEP * (LONGEST + 1 - size)
+                return [sum(logs) / len(found) + cost for logs in zip(*found, strict=True)]
+        return [0.0] * len(self.langs)
 
-    def predict(self, text: str | None, cache: dict[str, np.ndarray]) -> tuple[str, float]:
+
+class Predictor:
+    """A model with the scores of words in one table: those that it knows, then unseen ones as they come, ``CACHE`` at most."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.slot = model, dict(model.words)
+        self.table = np.zeros((len(model.words) + CACHE, max(1, len(model.langs))), np.float32)
+        if model.words:
+            self.table[: len(model.words)] = model.table
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        langs = self.model.langs
         found = LETTERS.findall((text or "").lower())
-        if not found or not self.langs:
+        if not found or not langs:
             return UNKNOWN, 0.0
-        rows, times = [], []
-        words = self.words
-        for word, n in Counter(found).items():
-            row = words.get(word)
-            if row is None:
-                row = cache.get(word)
-                if row is None:
-                    row = self.unseen(word)
-                    if len(cache) < CACHE and len(word) < 40:
-                        cache[word] = row
-            rows.append(row)
-            times.append(n)
-        total = np.array(times, np.float64) @ np.array(rows, np.float64)
+        times = Counter(found)
+        total = np.zeros(len(langs))
+        for word in [w for w in times if w not in self.slot]:
+            row = self.model.unseen(word)
+            if len(self.slot) < len(self.table):
+                self.table[len(self.slot)] = row
+                self.slot[word] = len(self.slot)
+            else:
+                total += np.array(row) * times.pop(word)
+        n = np.fromiter(times.values(), np.float64, len(times))
+        at = np.fromiter(map(self.slot.__getitem__, times), np.int64, len(times))
+        total += n @ self.table[at].astype(np.float64)
         best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+        return langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, words: int = WORDS) -> Model:
@@ -120,9 +130,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: tuple[s
 
     @F.pandas_udf("lang string, score double")
     def predicted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known, cache = shared.value, {}
+        predict = Predictor(shared.value)
         for batch in texts:
-            yield pd.DataFrame([known.predict(t, cache) for t in batch], columns=["lang", "score"])
+            yield pd.DataFrame([predict(t) for t in batch], columns=["lang", "score"])
 
     return docs.withColumn("__ms_lang", predicted(F.col(text_col))).withColumns({out[0]: F.col("__ms_lang.lang"), out[1]: F.col("__ms_lang.score")}).drop("__ms_lang")
 

@@ -87,7 +87,17 @@ def test_language_edges(spark):
 
 def test_back_off():
     m = language_id.Model({"a": {"zzzz": 5, "zzzy": 5}, "b": {"kkkk": 5, "kkkj": 5}})
-    assert m.predict("zzzq", {})[0] == "a" and m.predict("qkkk", {})[0] == "b" and m.predict("qqqq", {})[0] in "ab"
+    predict = language_id.Predictor(m)
+    assert predict("zzzq")[0] == "a" and predict("qkkk")[0] == "b" and predict("qqqq")[0] in "ab"
+
+
+def test_cache_changes_nothing(monkeypatch):
+    m = language_id.Model({"a": {"ab": 5, "ba": 2}, "b": {"bc": 4, "cb": 1}})
+    texts = ["abab bcbc ab", "cbcb zz abab", None, "abab bcbc ab", "ba bb bbb"]
+    with_cache = [language_id.Predictor(m)(t) for t in texts]
+    monkeypatch.setattr(language_id, "CACHE", 1)
+    without = [language_id.Predictor(m)(t) for t in texts]
+    assert [x[0] for x in with_cache] == [x[0] for x in without] and all(abs(x[1] - y[1]) < 1e-5 for x, y in zip(with_cache, without, strict=True))
 
 
 def brute_base(text):

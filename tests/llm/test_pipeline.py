@@ -17,8 +17,8 @@ def test_stages():
 def test_run(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
-    model = language_id.fit(docs)
-    kept = {i for i, r in rows.items() if (p := model.predict(r["text"], {}))[0] != "und" and p[1] >= 0.5}
+    predict = language_id.Predictor(language_id.fit(docs))
+    kept = {i for i, r in rows.items() if (p := predict(r["text"]))[0] != "und" and p[1] >= 0.5}
     groups = {}
     for i in kept:
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", rows[i]["text"]), []).append(i)
