@@ -32,6 +32,8 @@ SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 CHUNK = 256
+#: Ids of near copies that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -168,7 +170,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = cut(simhash_groups(docs, id_col, text_col), "near-groups")
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__ms_gone")).distinct()
     gone = cut(gone, "near-copies")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__ms_gone"), "left_anti")
+    # Ids of 8 bytes: by their count a side of a few tens of MB at most is broadcast, and texts need no shuffle.
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, F.col(id_col).cast("long") == F.col("__ms_gone"), "left_anti")
 
 
 def op8_simhash(spark, sf_dir):
