@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, turned
+from marlstone.llm.common import cut, release, turned
 
 WINDOW = 50
 PERIOD = 31
@@ -217,6 +217,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     # Anchors of one text and its copies are none that texts share; copies are found by their whole text.
     shared = anchors.groupBy("anchor").agg(F.min("row_key").alias("lo"), F.max("row_key").alias("hi")).where("lo < hi").select("anchor")
     shared = cut(shared, "anchors")
+    release(spark)
     n = shared.count()
     schema = "doc_id long, row_key long, at int, h1 long, h2 long"
     if n * LEAST_BITS > filter_bytes * 8:
@@ -277,6 +278,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = cut(copies(slim), "copies")
     at = at.join(whole, ["doc_id", "row_key"], "left_anti").unionByName(whole.withColumn("at", F.array().cast("array<int>")))
     at = cut(at, "repeated")
+    release(docs.sparkSession)
     joined = slim.join(at, ["doc_id", "row_key"], "left").select("doc_id", "text", "at")
     last = "kept_sha256" if digest else "kept"
     return joined.mapInPandas(_kept(window, not digest), "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("kept", last)
