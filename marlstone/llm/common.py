@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,13 +50,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the shuffle files of finished queries go: Spark's cleaner deletes them once the driver has collected its garbage,
-    which a driver with little work of its own may not do for long."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def no_space(text: Column) -> Column:
     """The text without any white space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), WS + "+", "")
