@@ -46,8 +46,9 @@ def default_vocabulary() -> tuple[str, str]:
 class Encoder:
     """Text to little-endian 32-bit ids, equal to those of the tokenizers file (a test compares them).
 
-    A single space between two other characters always begins a pre-token, so words are encoded once and cached. Texts
-    with two spaces in a row go to the rank encoder whole, texts with the special token to the tokenizers library.
+    A space between two characters that are not white space (Unicode's: no-break spaces and line ends too) always begins a
+    pre-token, so words are encoded once and cached. Texts with a space beside other white space go to the rank encoder
+    whole, texts with the special token to the tokenizers library.
     """
 
     def __init__(self, json_path: str, ranks_path: str) -> None:
@@ -73,10 +74,14 @@ class Encoder:
         if "  " in text:
             return self.whole(text)
         first, *words = text.split(" ")
+        if words and first[-1:].isspace():
+            return self.whole(text)
         parts, known = [self.whole(first)], self.known
         for w in words:
             x = known.get(w)
             if x is None:
+                if w[:1].isspace() or w[-1:].isspace():  # words in the cache have been through this
+                    return self.whole(text)
                 x = self.whole(" " + w)
                 if len(known) < CACHE and len(w) < 40:
                     known[w] = x

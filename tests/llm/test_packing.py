@@ -1,3 +1,4 @@
+import itertools
 import struct
 import zlib
 from functools import cache
@@ -42,6 +43,16 @@ def test_encoder_on_any_text(text):
         assert list(struct.unpack(f"<{len(b := encode(text)) // 4}I", b)) == ids_of(text)[:-1]
 
 
+def test_encoder_beside_other_white_space():
+    """No single space is a cut where its neighbour is white space of any kind."""
+    encode = encoder()
+    texts = ["end. \u00a0 \u00a0 Next", "\u00a0 \u00a0 \u00a0 Indented line", "a\u00a0 b", "a \u00a0b", "a \u2003 \u3000 b\u0085 c", "a b\n"]
+    texts += ["".join(c) for n in range(1, 6) for c in itertools.product("a \n\t\u00a0", repeat=n)]
+    for text in texts:
+        for _ in range(2):
+            assert list(struct.unpack(f"<{len(b := encode(text)) // 4}I", b)) == ids_of(text)[:-1], repr(text)
+
+
 def check(rows, texts, capacity):
     bins = {}
     for i, t in texts.items():
