@@ -27,8 +27,11 @@ BROADCAST_BYTES = 32 << 20
 
 #: (host, path, verdict) of the production rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Hosts that are listed for what they serve; the method blocks them where no rule decides.
-LISTED = [("spam-farm.example.org", "/", "block"), ("cheap-pills.example.com", "/", "block"), ("adult-x.example.net", "/", "block")]
+#: Hosts that are listed for what they serve, each under every domain that pages come from; the method blocks them and their
+#: subdomains where no rule decides.
+JUNK = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+DOMAINS = ("example.com", "example.net", "example.org")
+LISTED = [(f"{host}.{domain}", "/", "block") for host in JUNK for domain in DOMAINS]
 
 
 def rules(spark: SparkSession, entries: list[tuple[str, str, str]]) -> DataFrame:

@@ -84,6 +84,18 @@ def test_urls_equal_sql(spark):
     assert got.columns.count("host") == 1 and "file" in got.columns
 
 
+def test_every_junk_host_is_blocked(spark):
+    """Under each domain, with or without a subdomain, wherever no rule decides."""
+    junk = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+    urls = [f"http://{sub}{host}.example.{top}/x" for host in junk for top in ("com", "net", "org") for sub in ("", "www.", "m.", "blog.")]
+    other = ["http://good.example.com/x", "http://notspam-farm.example.com/x", "http://spam-farm.example.org/fr/x"]
+    rows = [(k, u, "") for k, u in enumerate(urls + other)]
+    got = url_filter.filter_urls(frame(spark, rows), url_filter.rules(spark, url_filter.RULES), url_filter.rules(spark, url_filter.LISTED)).collect()
+    verdict = {r["page_id"]: r["verdict"] for r in got}
+    assert [u for k, u in enumerate(urls) if verdict[k] != "block"] == []
+    assert [verdict[len(urls) + k] for k in range(3)] == ["allow"] * 3
+
+
 def test_url_lists(spark):
     """A longer list against plain Python; no false positive of the filter may stay."""
     listed = [(f"h{k}.com", f"/{'p' * (k % 5)}", "block" if k % 2 else "allow") for k in range(800)] + [("h1.com", "/p", "allow")]
