@@ -5,8 +5,9 @@ forms, comments; by element, role, or a word of class or id) is cut off. For eac
 characters and LT tags in links, the density is C / T x log_b(C / LC x T / LT), where the base b = ln(C / (C - LC) x LC +
 LC_body / C_body x C + e) makes links count more where the page has many. The sum of its children's densities says how
 much content a node gathers; the node with the largest sum is the article's. The smallest density on the path from the
-body to that node is the threshold: other subtrees beside that path belong to the article if they reach it and have at
-least ``SIDE_SHARE`` of its sum.
+body to that node is the threshold: other subtrees beside that path belong to the article if they reach it. Where a page
+has no links the logarithm grows with a node's size, so a subtree also belongs to it if its characters outside links, by
+tag, reach the smallest such number on the path; neither bound takes more of an article away the longer it is.
 
 Blocks are what block elements separate. Character references are decoded, white space in a block becomes one space.
 
@@ -26,8 +27,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIDE_SHARE = 0.2
-
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?=[\s/]|$))", re.I)
 SPACE = re.compile(r"\s+")
@@ -195,15 +194,17 @@ def choose(nodes: list[Node]) -> None:
             whole = n
     path = _path(whole)
     threshold = min((n.density for n in path if n.tag not in ("#root", "html")), default=0.0)
+    plain = min((_plain(n) for n in path if n.tag not in ("#root", "html")), default=0.0)
+    reaches = lambda n: n.density >= threshold or _plain(n) >= plain > 0
     whole.keep = True
     if whole.article:
         for n in scope:  # further parts of the same article
-            if n.tag == "article" and n is not whole and n.parent is whole.parent and n.gathered >= SIDE_SHARE * best.gathered and n.density >= threshold:
+            if n.tag == "article" and n is not whole and n.parent is whole.parent and reaches(n):
                 n.keep = True
         return
     for n in path[1:]:
         for child in n.children:
-            if not child.keep and child not in path and not child.drop and child.density >= threshold and child.gathered + child.density >= SIDE_SHARE * best.gathered:
+            if not child.keep and child not in path and child.chars and not child.drop and reaches(child):
                 child.keep = True
         if n.tag == "body":
             break
@@ -217,6 +218,11 @@ def choose(nodes: list[Node]) -> None:
             break
 
 
+def _plain(node: Node) -> float:
+    """Characters outside links by tag."""
+    return (node.chars - node.link_chars) / max(node.tags, 1)
+
+
 def _path(node: Node) -> list[Node]:
     out = []
     at: Node | None = node

@@ -44,6 +44,16 @@ def test_article(body):
     assert main_text(page(body)) == WANT
 
 
+@pytest.mark.parametrize("n", [1, 5, 10, 20, 50, 200, 2000])
+@pytest.mark.parametrize("menu", ["", MENU, '<div><a href="/a">Home</a> <a href="/b">News</a> <a href="/c">All</a></div>'])
+def test_lead_and_closing_of_long_pages(n, menu):
+    """Without article or main; however long the block between them is. Links beside it stay out."""
+    lead, closing, short = "lead " * 250, "closing " * 140, '<p><a href="/x">Read more of this here</a></p>'
+    body = f'{menu}<div id="content"><p>{lead}</p><div>{"".join(f"<p>{f'part {k} ' * 60}</p>" for k in range(n))}</div><p>{closing}</p></div>{short}'
+    lines = main_text(page(body)).split("\n")
+    assert lines[0] == lead.strip() and lines[-1] == closing.strip() and len(lines) == n + 2
+
+
 def test_markup():
     assert main_text(page("<article><p>a&nbsp;b &lt;c&gt; &#233;<br>d <b>e</b>f\n\n g<!-- no --></p><ul><li>x<li>y</ul></article>")) == "a b <c> é d ef g\nx\ny"
     assert main_text(page("<article><p><b>one.<br><p>two.</p></article>")) == "one.\ntwo."
