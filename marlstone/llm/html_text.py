@@ -1,13 +1,19 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree; what never is article text (scripts, styles, menus, headers, footers, sidebars, notices, adverts,
-forms, comments; by element, role, or a word of class or id) is cut off. For each node, with C characters, T tags, LC
-characters and LT tags in links, the density is C / T x log_b(C / LC x T / LT), where the base b = ln(C / (C - LC) x LC +
-LC_body / C_body x C + e) makes links count more where the page has many. The sum of its children's densities says how
-much content a node gathers; the node with the largest sum is the article's. The smallest density on the path from the
-body to that node is the threshold: other subtrees beside that path belong to the article if they reach it. Where a page
-has no links the logarithm grows with a node's size, so a subtree also belongs to it if its characters outside links, by
-tag, reach the smallest such number on the path; neither bound takes more of an article away the longer it is.
+forms, comments; by element, role, or a class that only such words make up) is cut off. Classes with such a word among
+others, and ids, which are headings' slugs as often, only set a subtree aside: it is not searched for the article nor taken
+in from beside it, but stays where the article has it within; if the article is the whole body, only what an id with other
+words sets aside stays, and that if over half of it is outside links. In an article or main element ids and mixed classes
+say nothing. Whole classes cut off block containers and set aside the rest. Headings keep their text whatever their
+names, paragraphs whatever their id, and so does what holds more than half of the page's text, unless a whole class cuts
+it off; if all is set aside, nothing is. For each node, with C characters, T tags, LC characters and LT tags in links,
+the density is C / T x log_b(C / LC x T / LT), where the base b = ln(C / (C - LC) x LC + LC_body / C_body x C + e) makes
+links count more where the page has many. The sum of its children's densities says how much content a node gathers; the
+node with the largest sum is the article's. The smallest density on the path from the body to that node is the
+threshold: other subtrees beside that path belong to the article if they reach it. Where a page has no links the
+logarithm grows with a node's size, so a subtree also belongs to it if its characters outside links, by tag, reach the
+smallest such number on the path; neither bound takes more of an article away the longer it is.
 
 Blocks are what block elements separate. Character references are decoded, white space in a block becomes one space.
 
@@ -45,46 +51,57 @@ WORDS = frozenset(
     "comment comments commentlist respond disqus replies sidebar sidebars rail menu menus nav navbar navigation navigations breadcrumb breadcrumbs pagination pager footer footers "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchbox popup popups modal overlay toolbar topbar masthead widget widgets skip paywall outbrain taboola".split()
 )
+#: What stands beside such words in classes made up of them alone.
+FRAME = frozenset("area list box block section wrap wrapper container inner outer panel link links item items bar button buttons icon icons post posts article articles left right bottom site".split())
 OUTSIDE_ARTICLE = frozenset({"header", "head", "top"})
-NEVER = frozenset({"html", "body", "main"})
+NEVER = frozenset("html body main h1 h2 h3 h4 h5 h6 hgroup".split())
+CONTAINERS = frozenset("div section ul ol dl table details center".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "drop", "article", "chars", "tags", "link_chars", "link_tags", "density", "gathered", "keep", "in_link", "children")
+    __slots__ = ("tag", "parent", "drop", "article", "chars", "tags", "link_chars", "link_tags", "density", "gathered", "keep", "in_link", "children", "named", "aside")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool) -> None:
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool, named: int = 0) -> None:
+        self.tag, self.parent, self.drop, self.named, self.aside = tag, parent, drop, named, False
         self.article = tag in ("article", "main") or (parent is not None and parent.article)
         self.in_link = tag == "a" or (parent is not None and parent.in_link)
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density, self.gathered, self.keep, self.children = 0.0, 0.0, False, []
 
 
-def _dropped(tag: str, attributes: str, parent: Node) -> bool:
+def _judged(tag: str, attributes: str, parent: Node) -> tuple[bool, int]:
+    """Whether a node is cut off, and whether its names would set it aside: 1 if only an id with other words does, else 2."""
     if parent.drop or tag in DROPPED:
-        return True
+        return True, 0
     if tag == "header" and not parent.article:
-        return True
-    if not attributes or tag in NEVER:
-        return False
+        return True, 0
+    if not attributes:
+        return False, 0
+    named = 0
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+            if tag not in ("html", "body", "main"):
+                return True, 0
+        elif name == "style":
+            if tag not in ("html", "body", "main") and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                return True, 0
         elif name == "role":
-            if value in ROLES:
-                return True
-        else:
+            if tag not in ("html", "body", "main") and value in ROLES:
+                return True, 0
+        elif tag not in NEVER and (tag != "p" or name == "class"):
             for one in value.split():
                 parts = NOT_LETTER.sub(" ", one).split()
-                if not parts or parts[0] in ("has", "with", "no", "without"):
-                    continue
-                if not WORDS.isdisjoint(parts) or (not parent.article and tag != "article" and not OUTSIDE_ARTICLE.isdisjoint(parts)):
-                    return True
-    return False
+                # What a block has or lacks is not what it is.
+                parts = parts[: next((k for k, x in enumerate(parts) if x in ("has", "with", "no", "without")), None)]
+                if not WORDS.isdisjoint(parts):
+                    if name == "class" and tag in CONTAINERS and WORDS.union(FRAME).issuperset(parts):
+                        return True, 0
+                    if not parent.article:
+                        named = max(named, 1 if name == "id" and not WORDS.issuperset(parts) else 2)
+                elif not parent.article and tag != "article" and not OUTSIDE_ARTICLE.isdisjoint(parts):
+                    named = 2
+    return False, named
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, Node, str]]]:
@@ -134,7 +151,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, Node, str]]]:
                 elif stack[k].tag in SCOPE[tag]:
                     break
         parent = stack[-1]
-        node = Node(tag, parent, _dropped(tag, attributes, parent))
+        node = Node(tag, parent, *_judged(tag, attributes, parent))
         nodes.append(node)
         parent.children.append(node)
         events.append((1, node, ""))
@@ -150,7 +167,27 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, Node, str]]]:
     return nodes, events
 
 
+def _set_aside(nodes: list[Node], events: list[tuple[int, Node, str]]) -> None:
+    """Sets ``aside`` on subtrees that their names set aside, unless they have over half of the page's text, or all do."""
+    if not any(n.named for n in nodes):
+        return
+    chars = dict.fromkeys(nodes, 0)
+    for kind, node, text in events:
+        if kind == 0 and not node.drop:
+            chars[node] += len(SPACE.sub("", text))
+    own = chars.copy()
+    for node in reversed(nodes):
+        if node.parent is not None:
+            chars[node.parent] += chars[node]
+    for node in nodes[1:]:
+        node.aside = node.parent.aside or (node.named and 2 * chars[node] <= chars[nodes[0]])
+    if not any(own[n] for n in nodes if not n.aside):
+        for node in nodes:
+            node.aside = False
+
+
 def densities(nodes: list[Node], events: list[tuple[int, Node, str]]) -> None:
+    _set_aside(nodes, events)
     for kind, node, text in events:
         if kind == 0 and not node.drop:
             n = len(SPACE.sub("", text))
@@ -159,7 +196,7 @@ def densities(nodes: list[Node], events: list[tuple[int, Node, str]]) -> None:
                 node.link_chars += n
     for node in reversed(nodes):
         parent = node.parent
-        if parent is not None and not node.drop:
+        if parent is not None and not node.drop and (parent.aside or not node.aside):
             parent.chars += node.chars
             parent.link_chars += node.link_chars
             parent.tags += node.tags + 1
@@ -175,13 +212,13 @@ def densities(nodes: list[Node], events: list[tuple[int, Node, str]]) -> None:
         ratio = c / max(lc, 1) * t / max(lt, 1)
         node.density = c / t * (math.log(max(ratio, 1e-9)) / math.log(base) if base > 1.0000001 else math.log(max(ratio, 1e-9)))
     for node in nodes:
-        if node.parent is not None and not node.drop:
+        if node.parent is not None and not node.drop and (node.parent.aside or not node.aside):
             node.parent.gathered += max(node.density, 0.0)
 
 
 def choose(nodes: list[Node]) -> None:
     """Sets ``keep`` on the roots of the article's subtrees."""
-    scope = [n for n in nodes if n.chars and not n.drop]
+    scope = [n for n in nodes if n.chars and not n.drop and not n.aside]
     if not scope:
         return
     best = max(scope, key=lambda n: n.gathered)
@@ -197,6 +234,9 @@ def choose(nodes: list[Node]) -> None:
     plain = min((_plain(n) for n in path if n.tag not in ("#root", "html")), default=0.0)
     reaches = lambda n: n.density >= threshold or _plain(n) >= plain > 0
     whole.keep = True
+    if whole.tag in ("#root", "html", "body"):
+        for n in nodes[1:]:
+            n.drop = n.drop or n.parent.drop or (n.aside and not n.parent.aside and (n.named > 1 or 2 * n.link_chars > n.chars))
     if whole.article:
         for n in scope:  # further parts of the same article
             if n.tag == "article" and n is not whole and n.parent is whole.parent and reaches(n):
@@ -204,7 +244,7 @@ def choose(nodes: list[Node]) -> None:
         return
     for n in path[1:]:
         for child in n.children:
-            if not child.keep and child not in path and child.chars and not child.drop and reaches(child):
+            if not child.keep and child not in path and child.chars and not child.drop and not child.aside and reaches(child):
                 child.keep = True
         if n.tag == "body":
             break

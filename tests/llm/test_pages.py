@@ -54,6 +54,31 @@ def test_lead_and_closing_of_long_pages(n, menu):
     assert lines[0] == lead.strip() and lines[-1] == closing.strip() and len(lines) == n + 2
 
 
+SLUGS = '<section id="related-work"><h2 id="search-algorithms">Search algorithms</h2><p>{0}</p></section><h2 id="social-impact" class="widget-title">Social impact</h2><p id="notice-1">{1}</p><div id="skip-lists"><p class="share">{2}</p></div>'.format(*(p.replace("&", "&amp;") for p in PARTS))
+SLUG_TEXT = "\n".join(["Headline", *PARTS, "Search algorithms", PARTS[0], "Social impact", *PARTS[1:]])
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"{MENU}<article class='post tag-search'>{BODY}{SLUGS}{COMMENTS}</article>",
+        f"{MENU}<main id='search'>{BODY}{SLUGS}</main>{NOISE}{COMMENTS}",
+        f"{NOISE}<div id='content'><div class='text'>{BODY}{SLUGS}</div></div>{COMMENTS}<div class='related-stories'><p>{PARTS[0]}</p></div>",
+        f"{MENU}<div class='content-with-sidebar'><div class='text'>{BODY}{SLUGS}</div><div class='sidebar'><p>Other news</p></div></div>{COMMENTS}",
+        f"{MENU}<div id='social-page'><article>{BODY}{SLUGS}</article></div><div class='site-footer'>About this site</div>",
+        f"{NOISE}{BODY}{SLUGS}{COMMENTS}",
+    ],
+)
+def test_names_of_article_parts(body):
+    """Slugs of headings and sections, tags of an article and names of a layout cut nothing of the article."""
+    assert main_text(page(body)) == SLUG_TEXT
+
+
+def test_all_set_aside():
+    halves = [f"<div id='search-{k}'><p>{PARTS[0]}</p></div>" for k in range(2)]
+    assert PARTS[0] in main_text(page("".join(halves)))
+
+
 def test_markup():
     assert main_text(page("<article><p>a&nbsp;b &lt;c&gt; &#233;<br>d <b>e</b>f\n\n g<!-- no --></p><ul><li>x<li>y</ul></article>")) == "a b <c> é d ef g\nx\ny"
     assert main_text(page("<article><p><b>one.<br><p>two.</p></article>")) == "one.\ntwo."
