@@ -10,7 +10,8 @@ spanning forest of its links leaves the task, never all pairs. Connected compone
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; repeated rows are a row each of
 the result, with the same component; null ids are no component's smallest unless it has no other, and ``near_dedup`` keeps
-their rows; an id names a document, so rows that share it stay or go together; an empty table gives an empty result. Extra
+their rows; of rows that share an id it decides by id and fingerprint, and of those that share both it keeps one, that with
+the smallest text; an empty table gives an empty result. Extra
 columns are ignored by ``simhash_groups`` and kept by ``near_dedup``.
 """
 
@@ -153,26 +154,48 @@ def links(distinct: DataFrame, n: int, bits: int = MAX_BITS) -> DataFrame:
     return units.mapInArrow(_linked(bits), "a long, b long").distinct()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable) and keep_fp (the smallest fingerprint of that id in the component)."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     root = components(links(distinct.select("fp"), distinct.count(), bits))
     rooted = cut(distinct.join(root.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.select("fp", turned(F.col("root")).alias("r")).join(least.select(turned(F.col("root")).alias("r"), "component_id"), "r").select("fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("z"), "first", "fp")).alias("b"))
+    least = least.select(turned(F.col("root")).alias("r"), F.col("b.first").alias("component_id"), F.col("b.fp").alias("keep_fp"))
+    of = rooted.select("fp", turned(F.col("root")).alias("r")).join(least, "r").select("fp", "component_id", "keep_fp")
     of = cut(of, "fingerprint-components")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(of, "fp").select("doc_id", "fp", "component_id", "keep_fp")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+    of = _grouped(docs, id_col, text_col, shingle, bits)
+    return of.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, one of each group: that with the smallest id."""
-    groups = cut(simhash_groups(docs, id_col, text_col), "near-groups")
-    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__ms_gone")).distinct()
-    gone = cut(gone, "near-copies")
+    groups = cut(_grouped(docs, id_col, text_col), "near-groups").where("doc_id IS NOT NULL").withColumn("gone", F.expr("doc_id != component_id OR fp != keep_fp"))
+    ids = groups.groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("often"), F.max("gone").alias("gone")).where("often OR gone")
+    ids = cut(ids.select(F.col("doc_id").alias("__ms_gone"), "often"), "near-copies")
     # Ids of 8 bytes: by their count a side of a few tens of MB at most is broadcast, and texts need no shuffle.
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, F.col(id_col).cast("long") == F.col("__ms_gone"), "left_anti")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    own = F.col(id_col).cast("long")
+    rest = docs.join(small(ids.select("__ms_gone")), own == F.col("__ms_gone"), "left_anti")
+    often = ids.where("often").select("__ms_gone")
+    if often.isEmpty():
+        return rest
+
+    @F.pandas_udf("long")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+
+    # Ids of several rows: each row by its own fingerprint.
+    stay = groups.where("NOT gone").join(often, F.col("doc_id") == F.col("__ms_gone"), "left_semi").select(F.col("doc_id").alias("__ms_id"), F.col("fp").alias("__ms_fp")).distinct()
+    rows = docs.join(small(often), own == F.col("__ms_gone"), "left_semi")
+    rows = rows.select(own.alias("__ms_id"), print_of(F.col(text_col).cast("string")).alias("__ms_fp"), F.col(text_col).alias("__ms_text"), F.struct(*docs.columns).alias("__ms_row"))
+    one = rows.join(stay, ["__ms_id", "__ms_fp"]).groupBy("__ms_id", "__ms_fp").agg(F.min_by("__ms_row", F.coalesce("__ms_text", F.lit(""))).alias("__ms_row"))
+    return rest.unionByName(one.select("__ms_row.*"))
 
 
 def op8_simhash(spark, sf_dir):

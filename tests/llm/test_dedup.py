@@ -92,6 +92,14 @@ def test_simhash_edges(spark):
     assert simhash.near_dedup(frame(spark, [(1, "a b c"), (2, "a b c"), (None, "a b c")])).count() == 2
 
 
+def test_near_dedup_keeps_one_of_each_group(spark):
+    """Ids that come twice: in two groups, in one group, as the smallest of both, and with the same row."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(30)) for x in "abcd")
+    left = simhash.near_dedup(frame(spark, [(1, a), (2, a), (2, b), (3, c), (3, d), (4, d), (5, "x y z"), (5, "x y z"), (5, "X y z")]))
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == sorted([(1, a), (2, b), (3, c), (3, d), (5, "X y z")])
+    assert left.columns == frame(spark, []).columns
+
+
 def test_dense_bucket_keeps_all_links(spark, monkeypatch):
     """Several hundred fingerprints in chains within a few blocks, cut into small chunks."""
     monkeypatch.setattr(simhash, "CHUNK", 16)
