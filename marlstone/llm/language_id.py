@@ -5,6 +5,7 @@ character n-grams of the greatest length of which the model knows any, down to s
 shorter length. The language with the largest sum over a text wins; the score is its share of probability.
 
 The model is fitted on a sample of labelled rows of about ``SAMPLE`` documents and holds at most ``WORDS`` words a language;
+a language has its share of the sample, but about ``LEAST`` documents if it has as many, and one in any case;
 rows whose crc32 of the id modulo ``FOLDS`` is 0 are never in it. Prediction reads whole texts and nothing but the text.
 
 Defined cases: null text and text without a letter are ``und`` with score 0; a model without languages (no labelled rows)
@@ -27,6 +28,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SAMPLE = 12_000
+#: Documents of a language in the sample, whatever its share of the rows.
+LEAST = 200
 WORDS = 15_000
 FOLDS = 5
 LONGEST = 4
@@ -110,10 +113,15 @@ class Predictor:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, words: int = WORDS) -> Model:
     """Counts of a sample: at most about ``sample`` documents, and of each language its ``words`` most frequent words."""
-    rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    n = rows.count()
-    share = min(1.0, sample / max(n, 1))
-    rows = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1))
+    # A row's draw is by its id, by its text where it has none; the smallest draw of each language is always in.
+    draw = F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit("sample"))).otherwise(F.xxhash64(F.col(id_col), F.lit("sample"))), F.lit(1 << 20))
+    rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).withColumn("__ms_draw", draw)
+    of = rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min("__ms_draw").alias("first")).collect()
+    n = sum(r["n"] for r in of)
+    shares = {r["lang"]: 1.0 if n <= sample else min(1.0, max(sample / n, LEAST / r["n"])) for r in of}
+    bounds = [(r["lang"], max(int(shares[r["lang"]] * (1 << 20)), r["first"] + 1)) for r in of]
+    bounds = docs.sparkSession.createDataFrame(bounds, "__ms_of string, __ms_bound long")
+    rows = rows.join(F.broadcast(bounds), F.col(lang_col).cast("string") == F.col("__ms_of")).where("__ms_draw < __ms_bound")
     found = rows.select(F.col(lang_col).cast("string").alias("lang"), F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("word")).where("word != ''")
     counted = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))

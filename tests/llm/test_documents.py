@@ -71,6 +71,16 @@ def test_language_ignores_what_it_must_not_see(spark, sf):
     assert model.langs == again.langs and model.words.keys() == again.words.keys()
 
 
+def test_every_language_is_learned(spark):
+    """A sample far smaller than the rows: languages of one row, of a few, and without ids."""
+    rare = [(50_001, "zzkk zzqq", "zz", "s"), (50_003, "yyww yyvv", "yy", "s"), (50_004, "yyww", "yy", "s"), (None, "xxjj xxhh", "xx", "s")]
+    rare = [r for r in rare if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5]
+    docs = frame(spark, [(k, f"the house number {k}", "en", "s") for k in range(20_000)] + rare)
+    model = language_id.fit(docs, sample=50)
+    assert model.langs == sorted({"en"} | {r[2] for r in rare}) and len(model.langs) == 4
+    assert len(model.words) < 2000
+
+
 def test_language_edges(spark):
     train = [(k, t, la, "s") for k, (t, la) in enumerate([("the house is big and the dog runs", "en"), ("la maison est grande et le chien court", "fr")] * 20)]
     model = language_id.fit(frame(spark, train))
