@@ -1,31 +1,42 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree; what never is article text (scripts, styles, menus, headers, footers, sidebars, notices, adverts,
-forms, comments; by element, role, or a class that only such words make up) is cut off. Classes with such a word among
-others, and ids, which are headings' slugs as often, only set a subtree aside: it is not searched for the article nor taken
-in from beside it, but stays where the article has it within; if the article is the whole body, only what an id with other
-words sets aside stays, and that if over half of it is outside links. In an article or main element ids and mixed classes
-say nothing. Whole classes cut off block containers and set aside the rest. Headings keep their text whatever their
-names, paragraphs whatever their id, and so does what holds more than half of the page's text, unless a whole class cuts
-it off; if all is set aside, nothing is. For each node, with C characters, T tags, LC characters and LT tags in links,
-the density is C / T x log_b(C / LC x T / LT), where the base b = ln(C / (C - LC) x LC + LC_body / C_body x C + e) makes
-links count more where the page has many. The sum of its children's densities says how much content a node gathers; the
-node with the largest sum is the article's. The smallest density on the path from the body to that node is the
-threshold: other subtrees beside that path belong to the article if they reach it. Where a page has no links the
-logarithm grows with a node's size, so a subtree also belongs to it if its characters outside links, by tag, reach the
-smallest such number on the path; neither bound takes more of an article away the longer it is.
+A page becomes a tree. What elements or roles say is no article text goes first: scripts, styles, menus, asides, dialogs,
+form controls, hidden elements, headers outside an article, footers outside a quotation. All else is left to densities.
+For each node, with C characters, T tags, LC characters and LT tags in links, the density is
+C / T x log_b(C / LC x T / LT), where the base b = ln(C / (C - LC) x LC + LC_body / C_body x C + e) makes links count more
+where the page has many. A block container whose whole class is one of ``WORDS`` (adverts, notices, comments, sidebars and
+so on, beside words of layout), and a form, count as links do: all their characters and tags, so their density is zero. The
+sum of its children's densities says how much content a node gathers; the node with the largest sum, of those with
+blocks in them, holds the article. The smallest density on the path from the body to that node is the threshold: other subtrees
+beside that path belong to the article if they reach it. Where a page has no links the logarithm grows with a node's
+size, so a subtree also belongs to it if its characters outside links, by tag, reach the smallest such number on the path;
+neither bound takes more of an article away the longer it is. Within an article or main element round the node the
+threshold is zero, that is, what is more than links and named parts stays, and so do headings. Last, subtrees that count as
+links by their name, not by being links, are taken out of what was chosen if they fall short of the threshold.
+
+Names that say less, a class with such a word among others, and ids, which are headings' slugs as often, only set a subtree
+aside outside articles: it is not searched for the article nor taken in from beside it, but stays where the article has it
+within; if the article is the whole body, only what an id with other words sets aside stays, and that if over half of it is
+outside links. Headings keep their text whatever their names, paragraphs whatever their id. What holds more than half of
+the page's text is neither set aside nor a form; if all is set aside, nothing is.
 
 Blocks are what block elements separate. Character references are decoded, white space in a block becomes one space.
+Reading a page takes time in proportion to its length, whatever its tags, quotes and nesting are.
 
 Defined cases: null and empty pages, and pages without text, give an empty string; unclosed, misnested and unknown elements
-are closed by their parents; raw text of a script or style without an end runs to the end of the page; repeated rows
-are a row each; an empty table gives an empty result. Whole pages are read, however long. Extra columns are ignored.
+are closed by their parents; raw text of a script or style without an end runs to the end of the page, and so does a tag
+without an end, which is no text; from a tag whose quotes do not end on, quotes hide no ``>``; of nodes that gather
+equally much the first on the page is taken, of equally dense neighbours all; numeric references beyond Unicode become
+U+FFFD; repeated rows are a row each; an empty table gives an empty result. Whole pages are read, however long. Extra columns
+are ignored, those named text or n_chars too.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,19 +44,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?=[\s/]|$))", re.I)
+# Possessive throughout: no input makes them go back.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"([^\s/=>]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))?+)?+")
+TELLING = re.compile(r"class|id|role|style|hidden", re.I)
 SPACE = re.compile(r"\s+")
 NOT_LETTER = re.compile(r"[^a-z]+")
+REFERENCE = re.compile(r"&#0*+([0-9]*+)(;?)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROPPED = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math canvas object embed nav footer aside form button select option input label fieldset menu dialog head audio video map".split())
+DROPPED = RAW | frozenset("template head nav aside menu dialog button select option optgroup datalist input".split())
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog toolbar".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
-CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}}
-SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "option": {"select"}}
-ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
+CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th")}
+SCOPE = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "option": ("select",)}
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner banners sponsor sponsored promo promos promotion cookie cookies consent gdpr notice notices alert alerts "
     "comment comments commentlist respond disqus replies sidebar sidebars rail menu menus nav navbar navigation navigations breadcrumb breadcrumbs pagination pager footer footers "
@@ -54,140 +69,176 @@ WORDS = frozenset(
 #: What stands beside such words in classes made up of them alone.
 FRAME = frozenset("area list box block section wrap wrapper container inner outer panel link links item items bar button buttons icon icons post posts article articles left right bottom site".split())
 OUTSIDE_ARTICLE = frozenset({"header", "head", "top"})
-NEVER = frozenset("html body main h1 h2 h3 h4 h5 h6 hgroup".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+NEVER = HEADINGS | {"html", "body", "main"}
 CONTAINERS = frozenset("div section ul ol dl table details center".split())
+#: How much a node's names say.
+BY_ID, BY_CLASS, WHOLE, FORM = 1, 2, 3, 4
 
 
 class Node:
-    __slots__ = ("tag", "parent", "drop", "article", "chars", "tags", "link_chars", "link_tags", "density", "gathered", "keep", "in_link", "children", "named", "aside")
+    __slots__ = ("tag", "parent", "drop", "article", "quoted", "chars", "tags", "link_chars", "link_tags", "blocks", "density", "gathered", "keep", "in_link", "children", "named", "linklike", "aside", "at")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool, named: int = 0) -> None:
-        self.tag, self.parent, self.drop, self.named, self.aside = tag, parent, drop, named, False
+        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named
         self.article = tag in ("article", "main") or (parent is not None and parent.article)
-        self.in_link = tag == "a" or (parent is not None and parent.in_link)
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.quoted = tag in ("blockquote", "figure") or (parent is not None and parent.quoted)
+        self.chars = self.tags = self.link_chars = self.link_tags = self.blocks = self.at = 0
         self.density, self.gathered, self.keep, self.children = 0.0, 0.0, False, []
+        self.in_link = self.linklike = self.aside = False
 
 
 def _judged(tag: str, attributes: str, parent: Node) -> tuple[bool, int]:
-    """Whether a node is cut off, and whether its names would set it aside: 1 if only an id with other words does, else 2."""
+    """Whether a node is cut off, and how much its names say against it."""
     if parent.drop or tag in DROPPED:
         return True, 0
-    if tag == "header" and not parent.article:
+    if tag == "header" and not parent.article or tag == "footer" and not parent.quoted:
         return True, 0
-    if not attributes:
-        return False, 0
-    named = 0
+    named = FORM if tag == "form" else 0
+    if not attributes or not TELLING.search(attributes):
+        return False, named
+    whole_page = tag in ("html", "body", "main")
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            if tag not in ("html", "body", "main"):
+        if name == "hidden":
+            if not whole_page:
                 return True, 0
         elif name == "style":
-            if tag not in ("html", "body", "main") and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            if not whole_page and re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", value):
                 return True, 0
         elif name == "role":
-            if tag not in ("html", "body", "main") and value in ROLES:
+            if not whole_page and value in ROLES:
                 return True, 0
-        elif tag not in NEVER and (tag != "p" or name == "class"):
+            if not whole_page and value == "form":
+                named = FORM
+        elif name in ("class", "id") and tag not in NEVER and (tag != "p" or name == "class"):
             for one in value.split():
                 parts = NOT_LETTER.sub(" ", one).split()
                 # What a block has or lacks is not what it is.
                 parts = parts[: next((k for k, x in enumerate(parts) if x in ("has", "with", "no", "without")), None)]
                 if not WORDS.isdisjoint(parts):
                     if name == "class" and tag in CONTAINERS and WORDS.union(FRAME).issuperset(parts):
-                        return True, 0
-                    if not parent.article:
-                        named = max(named, 1 if name == "id" and not WORDS.issuperset(parts) else 2)
+                        named = max(named, WHOLE)
+                    elif not parent.article:
+                        named = max(named, BY_ID if name == "id" and not WORDS.issuperset(parts) else BY_CLASS)
                 elif not parent.article and tag != "article" and not OUTSIDE_ARTICLE.isdisjoint(parts):
-                    named = 2
+                    named = max(named, BY_CLASS)
     return False, named
 
 
 def parse(html: str) -> tuple[list[Node], list[tuple[int, Node, str]]]:
     """Nodes in order of their start, and events in order of the page: (0, node, text), (1, node, '') start, (2, node, '') end."""
     root = Node("#root", None, False)
-    nodes, events, stack, at = [root], [], [root], 0
+    nodes, events, stack = [root], [], [root]
+    open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack of each tag's open elements
+    blocks = [0]  # and of all open blocks
 
     def close(n: int) -> None:
         while len(stack) > n:
-            events.append((2, stack.pop(), ""))
+            node = stack.pop()
+            open_at[node.tag].pop()
+            if blocks[-1] == len(stack):
+                blocks.pop()
+            events.append((2, node, ""))
 
-    end = len(html)
+    top = lambda tag: open_at[tag][-1] if open_at[tag] else 0
+    at, end, strict, sections, no_raw_end = 0, len(html), True, True, set()
     while at < end:
-        m = TOKEN.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
-        if text:
-            events.append((0, stack[-1], text))
-        if not m:
+        lt = html.find("<", at)
+        if lt < 0:
+            events.append((0, stack[-1], html[at:]))
             break
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                events.append((0, stack[-1], m[0][9:-3]))
+        if lt > at:
+            events.append((0, stack[-1], html[at:lt]))
+        after = html[lt + 1 : lt + 2]
+        if html.startswith("<!--", lt):
+            stop = lt + 1 if html.startswith((">", "->"), lt + 4) else html.find("-->", lt + 4)
+            at = end if stop < 0 else html.find(">", max(stop, lt + 4)) + 1
             continue
-        tag, attributes = tag.lower(), m[3] or m[6] or ""
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                # An inline end does not close the block it stands in.
-                if stack[k].tag in BLOCK and tag not in BLOCK:
-                    break
+        if sections and html.startswith("<![CDATA[", lt):
+            stop = html.find("]]>", lt)
+            if stop >= 0:
+                events.append((0, stack[-1], html[lt + 9 : stop]))
+                at = stop + 3
+                continue
+            sections = False
+        letter = html[lt + 2 : lt + 3] if after == "/" else after
+        if not ("a" <= letter <= "z" or "A" <= letter <= "Z"):
+            if after in ("!", "?", "/"):  # a declaration, or an end of nothing
+                stop = html.find(">", lt)
+                at = stop + 1 if stop >= 0 else end
+            else:
+                events.append((0, stack[-1], "<"))
+                at = lt + 1
+            continue
+        m = TAG.match(html, lt) if strict else None
+        if m is None:
+            strict = False
+            m = PLAIN_TAG.match(html, lt)
+            if m is None:
+                break
+        at = m.end()
+        tag, attributes = m[2].lower(), m[3]
+        if m[1]:
+            k = top(tag)
+            # An inline end does not close the block it stands in.
+            if k and (tag in BLOCK or k > blocks[-1]):
+                close(k)
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+        if tag in CLOSES_P and blocks[-1] and stack[blocks[-1]].tag == "p":
+            close(blocks[-1])
         if tag in CLOSED_BY:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSED_BY[tag]:
-                    close(k)
-                elif stack[k].tag in SCOPE[tag]:
-                    break
+            scope = max(map(top, SCOPE[tag]))
+            inner = [x[i] for x in map(open_at.__getitem__, CLOSED_BY[tag]) if (i := bisect_right(x, scope)) < len(x)]
+            if inner:
+                close(min(inner))
         parent = stack[-1]
         node = Node(tag, parent, *_judged(tag, attributes, parent))
+        node.at = len(parent.children)
         nodes.append(node)
         parent.children.append(node)
         events.append((1, node, ""))
         if tag in RAW:
-            stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            stop = None if tag in no_raw_end else re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(html, at)
+            if stop is None:
+                no_raw_end.add(tag)
             at = stop.end() if stop else end
             events.append((2, node, ""))
-        elif tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
+        elif tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             events.append((2, node, ""))
         else:
+            open_at[tag].append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
             stack.append(node)
-    close(0)
+    close(1)
     return nodes, events
 
 
-def _set_aside(nodes: list[Node], events: list[tuple[int, Node, str]]) -> None:
-    """Sets ``aside`` on subtrees that their names set aside, unless they have over half of the page's text, or all do."""
-    if not any(n.named for n in nodes):
-        return
-    chars = dict.fromkeys(nodes, 0)
-    for kind, node, text in events:
-        if kind == 0 and not node.drop:
-            chars[node] += len(SPACE.sub("", text))
-    own = chars.copy()
-    for node in reversed(nodes):
-        if node.parent is not None:
-            chars[node.parent] += chars[node]
+def _names(nodes: list[Node], events: list[tuple[int, Node, str]]) -> None:
+    """Sets ``linklike`` on what counts as links by its name, and ``aside`` on what other names set aside."""
+    if any(n.named for n in nodes):
+        chars = dict.fromkeys(nodes, 0)
+        for kind, node, text in events:
+            if kind == 0 and not node.drop:
+                chars[node] += len(SPACE.sub("", text))
+        own = chars.copy()
+        for node in reversed(nodes):
+            if node.parent is not None:
+                chars[node.parent] += chars[node]
+        most = lambda n: 2 * chars[n] > chars[nodes[0]]
+        for node in nodes[1:]:
+            node.linklike = node.parent.linklike or node.named == WHOLE or node.named == FORM and not most(node)
+            node.aside = node.parent.aside or node.named in (BY_ID, BY_CLASS) and not most(node)
+        if not any(own[n] for n in nodes if not (n.aside or n.linklike)):
+            for node in nodes:
+                node.aside = False
     for node in nodes[1:]:
-        node.aside = node.parent.aside or (node.named and 2 * chars[node] <= chars[nodes[0]])
-    if not any(own[n] for n in nodes if not n.aside):
-        for node in nodes:
-            node.aside = False
+        node.in_link = node.parent.in_link or node.tag == "a" or node.linklike
 
 
 def densities(nodes: list[Node], events: list[tuple[int, Node, str]]) -> None:
-    _set_aside(nodes, events)
+    _names(nodes, events)
     for kind, node, text in events:
         if kind == 0 and not node.drop:
             n = len(SPACE.sub("", text))
@@ -200,62 +251,60 @@ def densities(nodes: list[Node], events: list[tuple[int, Node, str]]) -> None:
             parent.chars += node.chars
             parent.link_chars += node.link_chars
             parent.tags += node.tags + 1
-            parent.link_tags += node.link_tags + (node.tag == "a")
+            parent.link_tags += node.link_tags + (node.tag == "a" or node.linklike)
+            parent.blocks += node.blocks + (node.tag in BLOCK and node.chars > 0)
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     share = body.link_chars / body.chars if body.chars else 0.0
     for node in nodes:
-        c, t = node.chars, max(node.tags, 1)
-        if node.drop or not c:
-            continue
-        lc, lt = node.link_chars, node.link_tags
-        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-        ratio = c / max(lc, 1) * t / max(lt, 1)
-        node.density = c / t * (math.log(max(ratio, 1e-9)) / math.log(base) if base > 1.0000001 else math.log(max(ratio, 1e-9)))
-    for node in nodes:
-        if node.parent is not None and not node.drop and (node.parent.aside or not node.aside):
-            node.parent.gathered += max(node.density, 0.0)
+        if not node.drop and node.chars:
+            node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+            if node.parent is not None and (node.parent.aside or not node.aside):
+                node.parent.gathered += max(node.density, 0.0)
+
+
+def density(c: int, t: int, lc: int, lt: int, share: float) -> float:
+    """Composite text density; ``share`` is that of the body's characters that are in links."""
+    t = max(t, 1)
+    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+    ratio = math.log(c / max(lc, 1) * t / max(lt, 1))
+    return c / t * (ratio / math.log(base) if base > 1.0000001 else ratio)
 
 
 def choose(nodes: list[Node]) -> None:
-    """Sets ``keep`` on the roots of the article's subtrees."""
+    """Sets ``keep`` on the roots of the article's subtrees, and ``drop`` on what is taken out of them."""
     scope = [n for n in nodes if n.chars and not n.drop and not n.aside]
-    if not scope:
-        return
-    best = max(scope, key=lambda n: n.gathered)
-    if best.gathered <= 0:
-        best = max(scope, key=lambda n: n.density)
-    # The article's element, where the page names one, holds what belongs to it.
-    whole = best
-    for n in _path(best):
-        if n.tag == "article" or n.tag == "main" and whole.tag != "article":
-            whole = n
-    path = _path(whole)
-    threshold = min((n.density for n in path if n.tag not in ("#root", "html")), default=0.0)
-    plain = min((_plain(n) for n in path if n.tag not in ("#root", "html")), default=0.0)
-    reaches = lambda n: n.density >= threshold or _plain(n) >= plain > 0
-    whole.keep = True
-    if whole.tag in ("#root", "html", "body"):
+    if sum(n.chars for n in scope if n.linklike and not n.parent.linklike) >= nodes[0].chars:
+        return  # no text but what its name takes out
+    best = max((n for n in scope if n.blocks), key=lambda n: n.gathered, default=None)
+    if best is None or best.gathered <= 0:
+        best = max(scope, key=lambda n: (n.gathered, n.density))
+    path = _path(best)
+    on_path, inner = set(path), [n for n in path if n.tag not in ("#root", "html")]
+    threshold = min((n.density for n in inner), default=0.0)
+    plain = min((_plain(n) for n in inner), default=0.0)
+    best.keep = True
+    if best.tag in ("#root", "html", "body"):
         for n in nodes[1:]:
-            n.drop = n.drop or n.parent.drop or (n.aside and not n.parent.aside and (n.named > 1 or 2 * n.link_chars > n.chars))
-    if whole.article:
-        for n in scope:  # further parts of the same article
-            if n.tag == "article" and n is not whole and n.parent is whole.parent and reaches(n):
-                n.keep = True
-        return
+            n.drop = n.drop or n.parent.drop or (n.aside and not n.parent.aside and (n.named > BY_ID or 2 * n.link_chars > n.chars))
     for n in path[1:]:
         for child in n.children:
-            if not child.keep and child not in path and child.chars and not child.drop and not child.aside and reaches(child):
-                child.keep = True
+            if child in on_path or not child.chars or child.drop or child.aside or child.linklike:
+                continue
+            if n.article:
+                child.keep = child.density > 0 or child.tag in HEADINGS or child.tag == "header"
+            else:
+                child.keep = child.density >= threshold or _plain(child) >= plain > 0
         if n.tag == "body":
             break
     # Headings stand right before what they head.
     for n in path[:-1]:
-        before = n.parent.children if n.parent else []
-        k = before.index(n) if n in before else 0
-        if k and before[k - 1].tag in ("h1", "h2") and not before[k - 1].drop:
-            before[k - 1].keep = True
+        before = n.parent.children[n.at - 1] if n.at else None
+        if before is not None and before.tag in ("h1", "h2") and not before.drop:
+            before.keep = True
         if n.tag == "body":
             break
+    for n in nodes[1:]:
+        n.drop = n.drop or n.parent.drop or (n.linklike and (n.density <= 0 or n.density < threshold))
 
 
 def _plain(node: Node) -> float:
@@ -272,6 +321,14 @@ def _path(node: Node) -> list[Node]:
     return out
 
 
+def decoded(text: str) -> str:
+    """The text with its character references replaced."""
+    if "&#" in text:
+        # Digits that no character has: Python would refuse to read thousands of them.
+        text = REFERENCE.sub(lambda m: m[0] if not m[1] else f"&#{m[1]}{m[2]}" if len(m[1]) < 8 else "�", text)
+    return unescape(text)
+
+
 def main_text(html: str | None) -> str:
     """The page's main text, a line a block."""
     if not html:
@@ -283,7 +340,7 @@ def main_text(html: str | None) -> str:
 
     def flush() -> None:
         if held:
-            line = SPACE.sub(" ", "".join(held)).strip()
+            line = SPACE.sub(" ", decoded("".join(held))).strip()
             held.clear()
             if line:
                 blocks.append(line)
@@ -291,7 +348,7 @@ def main_text(html: str | None) -> str:
     for kind, node, text in events:
         if kind == 0:
             if depth and not node.drop:
-                held.append(unescape(text))
+                held.append(text)
             continue
         if node.tag in BLOCK:
             flush()
