@@ -2,13 +2,21 @@
 
 Pass one counts the bit slots that the text hashes of the corpus set, two for each hash, both in one 4 KiB block of
 the filter, and keeps the slots that were set more than once as bitmaps. Pass two probes: only a hash whose two slots
-were both set repeatedly may repeat, so only its rows are shuffled and grouped; all others pass straight through.
-The filter has ``BITS_PER_ROW`` bits a row. Up to ``BROADCAST_BYTES`` it is broadcast; a larger one is joined by block.
-False positives cost a shuffled row each and change nothing in the result.
+were both set repeatedly may repeat, so only its row is shuffled and grouped; all others pass straight through. Both passes
+have keys (id, hash, length) in their hands, never texts; a key is written once, in the order of its hash within its file.
+The filter has ``BITS_PER_ROW`` bits a row, whatever their number. It is broadcast in segments of ``BROADCAST_BYTES`` by hash
+range: a segment's probe is a scan of its range of the keys, which Parquet's statistics bound, so a larger corpus takes
+more of the same map-only scans and shuffles no more of its rows. False positives cost a shuffled key each and change
+nothing in the result.
+
+``exact_dedup`` takes the rows that lose out of the documents. Their ids are broadcast up to ``BROADCAST_BYTES`` by count;
+beyond that a Bloom filter of these ids, at most that large, decides which documents are shuffled to be compared exactly. A
+document that loses nowhere is never hashed again nor moved.
 
 Defined cases: null text counts as empty, so null, empty and blank texts are one group. Of equal texts the row with the
-most code points stays, then the smallest id, null ids last; of rows that repeat an id as well, one stays. An empty table
-gives an empty result. Extra columns of any name pass through ``exact_dedup`` unchanged.
+most code points stays, then the smallest id, null ids last; of rows that repeat an id as well, one stays, that with the
+smallest text. Texts of any length are hashed whole. An empty table gives an empty result. Extra columns pass through
+``exact_dedup`` unchanged, unless their names begin with ``__ms_``.
 """
 
 from __future__ import annotations
@@ -21,31 +29,43 @@ from marlstone.llm.common import cut, no_space
 BITS_PER_ROW = 16
 BLOCK_BITS = 32768
 BROADCAST_BYTES = 64 << 20
+#: Bytes that a broadcast row of an id takes, and bits of a filter for each such row.
+ROW_BYTES, LOSER_BITS = 100, 16
 
-_KEY, _LEN, _ROW = "__ms_sha", "__ms_len", "__ms_row"
+_KEY, _LEN, _ROW, _HASH = "__ms_sha", "__ms_len", "__ms_row", "__ms_h"
 
 
 def text_key(text: Column) -> Column:
-    return F.sha2(no_space(text), 256)
+    """SHA-256 of the text without white space."""
+    return F.unhex(F.sha2(no_space(text), 256))
+
+
+def _length(text: Column) -> Column:
+    return F.char_length(F.coalesce(text, F.lit("")))
+
 
+def block_bits(rows: int, bits: int = BITS_PER_ROW) -> int:
+    """Bits of a block's number, for a filter of ``bits`` bits a row."""
+    return max(0, (max(rows, 1) * bits - 1).bit_length() - 15)
 
-def _slots(df: DataFrame, blocks: int) -> DataFrame:
-    h = F.xxhash64(F.col(_KEY))
+
+def _slots(df: DataFrame, of_block: int) -> DataFrame:
+    """The hash's upper bits choose the block, so a range of hashes is a range of blocks."""
+    h = F.col(_HASH)
     return df.withColumns(
         {
-            "__ms_block": h.bitwiseAND(F.lit(blocks - 1)),
-            "__ms_p1": F.shiftrightunsigned(h, 34).bitwiseAND(F.lit(BLOCK_BITS - 1)),
-            "__ms_p2": F.shiftrightunsigned(h, 49).bitwiseAND(F.lit(BLOCK_BITS - 1)),
+            "__ms_block": F.shiftrightunsigned(h, 64 - of_block) if of_block else F.lit(0).cast("long"),
+            "__ms_p1": h.bitwiseAND(F.lit(BLOCK_BITS - 1)),
+            "__ms_p2": F.shiftrightunsigned(h, 15).bitwiseAND(F.lit(BLOCK_BITS - 1)),
         }
     )
 
 
-def repeated_slots(keys: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """The filter of slots set more than once, a bitmap for each block, and its number of blocks."""
-    blocks = 1 << max(0, (max(rows, 1) * BITS_PER_ROW - 1).bit_length() - 15)
-    slots = _slots(keys, blocks).select("__ms_block", F.explode(F.array_distinct(F.array("__ms_p1", "__ms_p2"))).alias("__ms_p"))
+def repeated_slots(keys: DataFrame, rows: int) -> DataFrame:
+    """The filter of slots set more than once: a bitmap for each block."""
+    slots = _slots(keys, block_bits(rows)).select("__ms_block", F.explode(F.array_distinct(F.array("__ms_p1", "__ms_p2"))).alias("__ms_p"))
     twice = slots.groupBy("__ms_block", "__ms_p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.groupBy("__ms_block").agg(F.bitmap_construct_agg("__ms_p").alias("__ms_bits")), blocks
+    return twice.groupBy("__ms_block").agg(F.bitmap_construct_agg("__ms_p").alias("__ms_bits"))
 
 
 def _is_set(p: str) -> Column:
@@ -53,44 +73,99 @@ def _is_set(p: str) -> Column:
     return byte.bitwiseAND(F.expr(f"shiftleft(1, cast({p} % 8 as int))")) != 0
 
 
-def probe(df: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
-    """``df`` with ``__ms_maybe``: whether the filter allows its hash to repeat."""
-    side = F.broadcast(bloom) if blocks * BLOCK_BITS // 8 <= BROADCAST_BYTES else bloom
-    joined = _slots(df, blocks).join(side, "__ms_block", "left")
+def _probed(df: DataFrame, side: DataFrame, of_block: int) -> DataFrame:
+    joined = _slots(df, of_block).join(F.broadcast(side), "__ms_block", "left")
     return joined.withColumn("__ms_maybe", F.coalesce(_is_set("__ms_p1") & _is_set("__ms_p2"), F.lit(False))).drop("__ms_block", "__ms_p1", "__ms_p2", "__ms_bits")
 
 
-def _groups(maybe: DataFrame, id_col: str) -> DataFrame:
-    """A row for each hash; the key's other form makes the join below shuffle both sides, so that hot hashes can be split."""
-    order = F.struct((-F.col(_LEN)).alias("n"), F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), *([F.col(_ROW).alias("r")] if _ROW in maybe.columns else []))
-    found = maybe.groupBy(_KEY).agg(F.count(F.lit(1)).alias("__ms_size"), F.min(order).alias("__ms_best"))
-    return found.select(F.unhex(_KEY).alias("__ms_bin"), "__ms_size", "__ms_best")
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def probe(keys: DataFrame, bloom: DataFrame, rows: int) -> DataFrame:
+    """``keys`` with ``__ms_maybe``: whether the filter allows their hash to repeat. A segment of the filter is broadcast at a time."""
+    of_block = block_bits(rows)
+    of_segment = max(0, min(of_block, of_block + 12 - (max(BROADCAST_BYTES, 1).bit_length() - 1)))
+    out = None
+    for s in range(1 << of_segment):
+        part, side = keys, bloom
+        if of_segment:
+            low, wide = s << (64 - of_segment), 1 << (64 - of_segment)
+            part = keys.where(F.col(_HASH).between(F.lit(_signed(low)), F.lit(_signed(low + wide - 1))))
+            low, wide = s << (of_block - of_segment), 1 << (of_block - of_segment)
+            side = bloom.where(F.col("__ms_block").between(F.lit(low), F.lit(low + wide - 1)))
+        one = _probed(part, side, of_block)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A table of doc_id, hash of the text, its length, a row number; each file in the order of a hash of the hash."""
+    keys = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias(_KEY), _length(F.col(text_col)).alias(_LEN), F.monotonically_increasing_id().alias(_ROW))
+    return cut(keys.withColumn(_HASH, F.xxhash64(_KEY)).sortWithinPartitions(_HASH), "dedup-keys")
+
+
+def _split(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys that repeat nowhere, and those that may, with ``__ms_size`` and ``__ms_best`` of their hash."""
+    n = keys.count()
+    probed = probe(keys, cut(repeated_slots(keys, n), "dedup-bloom"), n)
+    maybe = cut(probed.where("__ms_maybe"), "dedup-maybe")
+    order = F.struct((-F.col(_LEN)).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col(_ROW).alias("r"))
+    groups = cut(maybe.groupBy(_KEY).agg(F.count(F.lit(1)).alias("__ms_size"), F.min(order).alias("__ms_best")), "dedup-groups")
+    # Both sides are tables, so both are shuffled, and a hot hash can be split.
+    return probed.where("NOT __ms_maybe"), maybe.join(groups, _KEY)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
-    keys = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias(_KEY), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias(_LEN), F.monotonically_increasing_id().alias(_ROW))
-    keys = cut(keys, "dedup-keys")
-    bloom, blocks = repeated_slots(keys, keys.count())
-    probed = probe(keys, cut(bloom, "dedup-bloom"), blocks)
-    maybe, alone = probed.where("__ms_maybe"), probed.where("NOT __ms_maybe")
-    of = maybe.withColumn("__ms_bin", F.unhex(_KEY)).join(_groups(maybe, "doc_id"), "__ms_bin")
-    repeated = of.select("doc_id", F.col("__ms_best.i").alias("keep_id"), F.col("__ms_size").alias("group_size"), (F.col(_ROW) == F.col("__ms_best.r")).alias("kept"), F.col(_KEY).alias("text_sha256"))
-    single = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col(_KEY).alias("text_sha256"))
+    alone, of = _split(_keys(docs, id_col, text_col))
+    sha = F.lower(F.hex(_KEY)).alias("text_sha256")
+    repeated = of.select("doc_id", F.col("__ms_best.i").alias("keep_id"), F.col("__ms_size").alias("group_size"), (F.col(_ROW) == F.col("__ms_best.r")).alias("kept"), sha)
+    single = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha)
     return single.unionByName(repeated)
 
 
+def _told(id_: Column) -> Column:
+    """The id as a string that no null can make null."""
+    return F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit(""))
+
+
+def _suspects(docs: DataFrame, own: Column, ids: DataFrame, n: int) -> tuple[DataFrame, bool]:
+    """``docs`` with ``__ms_hit``: whether the row's id is, or by a filter may be, among ``ids``; and whether ids are few."""
+    if n * ROW_BYTES <= BROADCAST_BYTES:
+        return docs.withColumn("__ms_own", own).join(F.broadcast(ids.withColumn("__ms_hit", F.lit(True))), F.col("__ms_own") == F.col("__ms_id"), "left").withColumn("__ms_hit", F.coalesce("__ms_hit", F.lit(False))).drop("__ms_id"), True
+    # The filter's bits a row shrink beyond its bound: more documents are then compared, and no other result comes out.
+    of_block = min(block_bits(n, LOSER_BITS), max(0, (BROADCAST_BYTES >> 12).bit_length() - 1))
+    slots = _slots(ids.select(F.xxhash64("__ms_id").alias(_HASH)), of_block).select("__ms_block", F.explode(F.array("__ms_p1", "__ms_p2")).alias("__ms_p"))
+    bloom = cut(slots.distinct().groupBy("__ms_block").agg(F.bitmap_construct_agg("__ms_p").alias("__ms_bits")), "dedup-losers-bloom")
+    hashed = docs.withColumn("__ms_own", own).withColumn(_HASH, F.xxhash64("__ms_own"))
+    return _probed(hashed, bloom, of_block).drop(_HASH).withColumnRenamed("__ms_maybe", "__ms_hit"), False
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with their own columns. Only rows whose hash may repeat are shuffled."""
-    keyed = docs.withColumns({_KEY: text_key(F.col(text_col)), _LEN: F.char_length(F.coalesce(F.col(text_col), F.lit("")))})
-    keys = cut(keyed.select(id_col, _KEY, _LEN), "dedup-keys")
-    bloom, blocks = repeated_slots(keys, keys.count())
-    bloom = cut(bloom, "dedup-bloom")
-    probed = probe(keyed, bloom, blocks)
-    groups = _groups(probe(keys, bloom, blocks).where("__ms_maybe"), id_col)
-    best = (F.col(_LEN) == -F.col("__ms_best.n")) & F.col(id_col).eqNullSafe(F.col("__ms_best.i"))
-    stay = probed.where("__ms_maybe").withColumn("__ms_bin", F.unhex(_KEY)).join(groups, "__ms_bin").where(best).dropDuplicates([id_col, _KEY])
-    return probed.where("NOT __ms_maybe").select(docs.columns).unionByName(stay.select(docs.columns))
+    """The documents that stay, with their own columns."""
+    _, of = _split(_keys(docs, id_col, text_col))
+    best = F.col(_ROW) == F.col("__ms_best.r")
+    own = _told(F.col(id_col))
+    marked = of.select(_told(F.col("doc_id")).alias("__ms_id"), _KEY, _LEN, best.alias("__ms_is_best"))
+    # A row is told by its id and hash. Of rows that share both, the winner's among them, one is picked by itself.
+    rows = marked.groupBy("__ms_id", _KEY).agg(F.count(F.lit(1)).alias("__ms_n"), F.max("__ms_is_best").alias("__ms_is_best"), F.max(_LEN).alias(_LEN))
+    gone = cut(rows.where("NOT __ms_is_best OR __ms_n > 1"), "dedup-losers")
+    ids = gone.select("__ms_id").distinct()
+    docs_, few = _suspects(docs, own, ids, gone.count())
+    sha = F.when(F.col("__ms_hit"), text_key(F.col(text_col)))
+    if few:  # one scan; rows that are no suspects have no hash and match nothing
+        stay = docs_.withColumn(_KEY, sha).join(F.broadcast(gone.select(F.col("__ms_id").alias("__ms_own"), _KEY)), ["__ms_own", _KEY], "left_anti").select(docs.columns)
+    else:
+        compared = docs_.where("__ms_hit").withColumn(_KEY, sha).join(gone.select(F.col("__ms_id").alias("__ms_own"), _KEY), ["__ms_own", _KEY], "left_anti")
+        stay = docs_.where("NOT __ms_hit").select(docs.columns).unionByName(compared.select(docs.columns))
+    twice = gone.where("__ms_is_best")
+    if twice.isEmpty():
+        return stay
+    again = docs.withColumns({"__ms_id": own, _LEN: _length(F.col(text_col))}).join(twice.select("__ms_id").distinct(), "__ms_id", "left_semi")
+    again = again.select("__ms_id", _LEN, text_key(F.col(text_col)).alias(_KEY), F.col(text_col).alias("__ms_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__ms_row"))
+    one = again.join(twice.select("__ms_id", _KEY, _LEN), ["__ms_id", _KEY, _LEN]).groupBy("__ms_id", _KEY).agg(F.min_by("__ms_row", F.coalesce("__ms_text", F.lit(""))).alias("__ms_row"))
+    return stay.unionByName(one.select("__ms_row.*"))
 
 
 def op1_exact_dedup(spark, sf_dir):

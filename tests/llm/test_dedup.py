@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marlstone.llm import components, exact_dedup, simhash, substring_dedup
 
@@ -49,12 +50,58 @@ def test_exact_empty(spark):
 
 
 def test_bloom_lets_few_pass(spark):
-    keys = frame(spark, [(i, f"text {i if i % 10 else 0}") for i in range(3000)]).select(exact_dedup.text_key(exact_dedup.F.col("text")).alias("__ms_sha"))
-    bloom, blocks = exact_dedup.repeated_slots(keys, 3000)
-    passed = exact_dedup.probe(keys, bloom, blocks).where("__ms_maybe").count()
+    keys = exact_dedup._keys(frame(spark, [(i, f"text {i if i % 10 else 0}") for i in range(3000)]), "doc_id", "text")
+    passed = exact_dedup.probe(keys, exact_dedup.repeated_slots(keys, 3000), 3000).where("__ms_maybe").count()
     assert 300 <= passed <= 420
 
 
+def many(spark, n=12_000):
+    """A third of all rows are one text, others come twice, most once; every copy's length differs; extra columns clash."""
+    body = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 7 == 0, F.concat(F.lit("twin "), F.floor(F.col("id") / 1000).cast("string"))).otherwise(F.concat(F.lit("text "), F.col("id").cast("string")))
+    return spark.range(n).select(F.col("id").alias("doc_id"), F.concat(body, F.repeat(F.lit(" "), (F.col("id") % 5).cast("int"))).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit("x").alias("fp"), F.lit("y").alias("kept"))
+
+
+def moves(plan, source):
+    """For each shuffle of what is read from the source: the nodes below it."""
+    lines = plan.split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    out = []
+    for k, x in enumerate(lines):
+        if "Exchange hashpartitioning" in x or "Exchange rangepartitioning" in x or "Exchange Round" in x:
+            stop = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
+            if any(source in y for y in lines[k:stop]):
+                out.append(lines[k:stop])
+    return out
+
+
+@pytest.mark.parametrize("most", [exact_dedup.BROADCAST_BYTES, 20_000, 1])
+def test_no_size_changes_what_is_kept_or_moves_texts(spark, monkeypatch, most):
+    """One broadcast, a few segments of the filter, and a segment a block with losers told by a filter of their own."""
+    docs = many(spark)
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want = brute_exact(rows)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        groups = exact_dedup.exact_groups(docs).collect()
+        assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in groups) == want
+        stay = exact_dedup.exact_dedup(docs)
+        plan = stay._jdf.queryExecution().executedPlan().toString()
+        # Documents are shuffled only where a filter of many losers' ids lets them pass.
+        moved = moves(plan, "Range (")
+        assert len(moved) == (0 if most > 70_000 else 1), plan
+        assert all(any("Filter" in x and "__ms_bits" in x for x in below) for below in moved)
+        assert sorted(r["doc_id"] for r in stay.select("doc_id").collect()) == sorted({int(w[1]) for w in want})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_exact_dedup_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "a"), (1, "a "), (1, " a"), (1, "b"), (2, "b"), (None, "c"), (None, "c"), (None, "d"), (3, "d"), (4, "e"), (4, "e"), (5, "e  ")]
+    left = exact_dedup.exact_dedup(frame(spark, rows))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted([("1", " a"), ("1", "b"), ("None", "c"), ("3", "d"), ("5", "e  ")])
+
+
 def brute_print(text):
     w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
