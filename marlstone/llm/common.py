@@ -2,43 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where the session names no shared folder (single-machine tests).
-LOCAL_SCRATCH = "file:///tmp/checkpoints"
+from marlstone.session import remove_at_exit, shared_folder, spread
 
 #: White space of all operators: U+0020 and U+0009 to U+000D, nothing else.
 WS = r"[\x20\x09-\x0D]"
 
-_cleaned: set[str] = set()
-
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of this application's intermediate tables.
-
-    ``spark.checkpoint.dir`` of the session names it; only where that is unset is a local default taken.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
-    own = f"{root.rstrip('/')}/marlstone-{spark.sparkContext.applicationId}"
-    if own not in _cleaned:
-        _cleaned.add(own)
-        atexit.register(_delete, spark, own)
+    """The folder of this application's intermediate tables, in the shared one; it goes when the interpreter ends."""
+    own = f"{shared_folder(spark)}/marlstone-{spark.sparkContext.applicationId}"
+    remove_at_exit(spark, own)
     return own
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session is already gone at exit
-        pass
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -61,5 +42,6 @@ def turned(key: Column) -> Column:
     return F.bitwise_not(key)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table of the given folder, over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))

@@ -44,6 +44,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import table
+
 # Possessive throughout: no input makes them go back.
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -376,4 +378,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op3_html_text(spark, sf_dir):
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))

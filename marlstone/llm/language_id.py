@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import table
+
 SAMPLE = 12_000
 #: Documents of a language in the sample, whatever its share of the rows.
 LEAST = 200
@@ -152,6 +154,6 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def op7_language_id(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     found = identify(docs.select("doc_id", "text"), fit(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut
+from marlstone.llm.common import cut, table
 
 CAPACITY = 2048
 #: Pieces that one task packs, on average.
@@ -159,4 +159,4 @@ def pack(of: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFra
 
 
 def op2_best_fit_packing(spark, sf_dir):
-    return pack(pieces(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return pack(pieces(table(spark, sf_dir, "documents", "doc_id", "text")))

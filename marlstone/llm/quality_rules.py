@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import table
+
 SAMPLE = 1000
 #: Lines of a sequence in the fit; longer documents are several sequences there. Decoding has whole documents.
 FIT_LINES = 48
@@ -217,5 +219,5 @@ def judge(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
 
 
 def op10_quality_rules(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return judge(docs, fit_field(*sampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))))

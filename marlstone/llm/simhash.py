@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, turned
+from marlstone.llm.common import cut, table, turned
 from marlstone.llm.components import components
 
 SHINGLE = 3
@@ -199,4 +199,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op8_simhash(spark, sf_dir):
-    return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return simhash_groups(table(spark, sf_dir, "documents", "doc_id", "text"))

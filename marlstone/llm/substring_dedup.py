@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, turned
+from marlstone.llm.common import cut, table, turned
 
 WINDOW = 50
 PERIOD = 31
@@ -283,4 +283,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op4_substring_dedup(spark, sf_dir):
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
+    return substring_dedup(table(spark, sf_dir, "documents", "doc_id", "text"), digest=True)

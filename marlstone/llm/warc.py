@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, scratch_path
+from marlstone.llm.common import cut, scratch_path, table
 
 LEAST_REVISIT = 100
 ROWS_PER_FILE = 2000
@@ -155,7 +155,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 def op9_warc(spark, sf_dir):
     path = scratch_path(spark, "archives")
-    write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    write_archives(table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
     return records(spark, path)
 
 

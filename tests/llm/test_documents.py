@@ -22,7 +22,7 @@ ROWS = [(k, f"word {'more ' * (k % 9)}{'a | b | c' if k % 5 == 0 else ''}", ["en
 
 def test_mixing_equals_sql(spark):
     docs = frame(spark, ROWS)
-    out = mixing.mixed(docs)
+    out = mixing.calibrated(mixing.described(docs))
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", ROWS)
@@ -33,25 +33,71 @@ def test_mixing_equals_sql(spark):
     assert mixing.sample_mixed(frame(spark, [])).count() == 0
 
 
-def test_rake_meets_targets(spark):
-    cells = spark.createDataFrame([(s, la, t, 10 * (i + 1) * (j + 2) + 7 * k) for i, s in enumerate("ab") for j, la in enumerate(["en", "fr"]) for k, t in enumerate("xyz")], "source string, lang string, topic string, weight long")
+CELLS = [(s, la, t, 10 * (i + 1) * (j + 2) + 7 * k) for i, s in enumerate("ab") for j, la in enumerate(["en", "fr"]) for k, t in enumerate("xyz")]
+CELL = "source string, lang string, topic string, weight long"
+
+
+def shares(odds, d):
+    """Share of the sampled weight by value, and the sampled weight."""
+    got = {}
+    for r in odds:
+        got[r[d]] = got.get(r[d], 0.0) + r["p"] * r["weight"]
+    return {k: v / sum(got.values()) for k, v in got.items()}, sum(got.values())
+
+
+@pytest.mark.parametrize("budget", [0.05, 0.5, 0.9])
+def test_rake_meets_targets(spark, budget):
+    """At the production settings, with cells that fill up, and a budget that the targets cannot have."""
     targets = {"source": {"a": 0.7, "b": 0.3}, "lang": {"en": 0.5, "fr": 0.5}, "topic": {"x": 0.2, "y": 0.3, "z": 0.5, "none": 0.4}}
-    raked = mixing.rake(cells, targets, rounds=20)
-    total = cells.agg(F.sum("weight")).first()[0]
+    odds = mixing.rake(spark.createDataFrame(CELLS, CELL), targets, budget).collect()
+    assert all(0 <= r["p"] <= 1 for r in odds)
     for d, wanted in targets.items():
-        got = {r[d]: r["s"] / total for r in raked.groupBy(d).agg(F.sum("raked").alias("s")).collect()}
+        got, spent = shares(odds, d)
         live = {k: v for k, v in wanted.items() if k in got}
-        assert all(got[k] == pytest.approx(v / sum(live.values()), abs=1e-4) for k, v in live.items())
-    odds = mixing.probabilities(raked, 0.5).collect()
-    assert all(0 <= r["p"] <= 1 for r in odds)
-    assert sum(r["p"] * r["weight"] for r in odds) == pytest.approx(0.5 * total, rel=1e-3)
-
-
-def test_sample_follows_probabilities(spark):
-    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 10 == 0, "rare").otherwise("common").alias("source"))
-    out = mixing.mixed(docs, {"source": {"rare": 0.2, "common": 0.8}}).groupBy("source").agg(F.avg("__ms_p").alias("p"), F.avg(F.col("__ms_kept").cast("int")).alias("k"))
-    got = {r["source"]: (r["p"], r["k"]) for r in out.collect()}
-    assert got["rare"][0] == 1.0 and all(abs(p - k) < 0.03 for p, k in got.values())
+        assert all(got[k] == pytest.approx(v / sum(live.values()), rel=2 * mixing.TOLERANCE) for k, v in live.items())
+    total = sum(c[3] for c in CELLS)
+    own = {d: shares([dict(zip(("source", "lang", "topic", "weight", "p"), (*c, 1.0), strict=True)) for c in CELLS], d)[0] for d in targets}
+    most = min(own[d][k] / (v / sum(w for x, w in of.items() if x in own[d])) for d, of in targets.items() for k, v in of.items() if k in own[d])
+    assert spent <= budget * total * 1.01 and (budget > 0.3 or spent == pytest.approx(budget * total, rel=0.01)) and spent > 0.3 * min(budget, most) * total
+
+
+def test_targets_that_contradict_each_other(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 50), ("b", "fr", "x", 50)], CELL)
+    with pytest.warns(UserWarning, match="contradict"):
+        mixing.rake(cells, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "fr": 0.9}})
+
+
+def corpus(spark, n):
+    """Sources, languages and topics of very unlike shares, by the row's number."""
+    k = F.col("id")
+    source = F.when(k % 3 == 0, "hot").when(k % 50 == 1, "rare").otherwise(F.concat(F.lit("s"), (k % 5).cast("string")))
+    text = F.concat(F.lit("w "), F.repeat(F.lit("w "), (k % 7).cast("int")), F.when(k % 11 == 0, "a | b").when(k % 13 == 0, "license").otherwise("x"))
+    return spark.range(n).select(k.alias("doc_id"), text.alias("text"), F.when(k % 17 < 12, "en").when(k % 17 < 16, "fr").alias("lang"), source.alias("source"))
+
+
+def test_sample_meets_shipped_targets(spark):
+    """The drawn documents themselves, not their expectation, are within 1 % of each target share."""
+    docs = corpus(spark, 400_000)
+    out = mixing.calibrated(mixing.described(docs)).select(*[F.col(f"__ms_{d}").alias(d) for d in mixing.DIMENSIONS], F.col("__ms_weight").alias("w"), F.col("__ms_kept").alias("kept"))
+    cells = out.groupBy(*mixing.DIMENSIONS).agg(F.sum("w").alias("weight"), F.sum(F.when(F.col("kept"), F.col("w")).otherwise(0)).alias("drawn")).collect()
+    total, drawn = sum(r["weight"] for r in cells), sum(r["drawn"] for r in cells)
+    for d in mixing.DIMENSIONS:
+        own = Counter()
+        got = Counter()
+        for r in cells:
+            own[r[d]] += r["weight"] / total
+            got[r[d]] += r["drawn"] / drawn
+        z = sum(v**mixing.TEMPER for v in own.values())
+        goal = {k: min(v**mixing.TEMPER / z, mixing.RAISE * v) for k, v in own.items()}
+        assert all(got[k] == pytest.approx(g / sum(goal.values()), rel=0.01) for k, g in goal.items()), d
+        assert any(abs(own[k] / got[k] - 1) > 0.03 for k in own)
+    assert drawn > 0.8 * total
+
+
+def test_topics_of_a_column(spark):
+    docs = frame(spark, ROWS)
+    assert mixing.described(docs, topic_col="topic").select("__ms_topic").distinct().collect() == [("t",)]
+    assert mixing.sample_mixed(docs, {"topic": {"t": 1.0}}, topic_col="topic").columns == docs.columns
 
 
 def test_language_held_out(spark, sf):
