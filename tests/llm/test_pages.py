@@ -274,6 +274,27 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_warc_hostile_payloads(spark, tmp_path):
+    """Magic lines by the thousand, feigned records that all end where the payload does, and magic right before the end."""
+    fake = lambda left: f"\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: {left}\r\n\r\n"
+    nested = ""
+    for _ in range(3000):
+        nested = fake(len(nested)) + nested
+    payloads = ["WARC/1.1\r\n" * 100_000, nested, "x\r\n\r\nWARC/1.1", "x\r\n\r\nWARC/1.1\r\n", "\r\n\r\nWARC/1.1\r\n\r\nWARC/1.1", "\nWARC/1.1\r\n\r\n", "\r\n" * 50_000, "WARC/1.1\r\nContent-Length: 5\r\n\r\n"]
+    rows = [(k, "http://a/WARC/1.1", p) for k, p in enumerate(payloads)]
+    path = f"file://{tmp_path}/w"
+    began = time.process_time()
+    warc.write_archives(frame(spark, rows).coalesce(1), path)
+    for most in ("128m", "100k"):  # the second cuts payloads into many ranges
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        try:
+            got = {r["page_id"]: (bytes(r["payload"]).decode(), r["payload_bytes"], r["digest"]) for r in warc.read_archives(spark, path).collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got == {k: (p, len(p), hashlib.sha256(p.encode()).hexdigest()) for k, _, p in rows}
+    assert time.process_time() - began < 20
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_archives(frame(spark, []), f"file://{tmp_path}/w")
     assert warc.records(spark, f"file://{tmp_path}/w").count() == 0
@@ -283,6 +304,10 @@ def test_chain_stops_at_damage(spark, tmp_path):
     record = lambda k, body: (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: {len(body)}\r\n\r\n" + body + "\r\n\r\n").encode()
     (tmp_path / "a.warc").write_bytes(record(1, "one") + record(2, "two") + b"junk" + record(3, "three"))
     assert sorted(r["page_id"] for r in warc.read_archives(spark, f"file://{tmp_path}").collect()) == [1, 2]
+    (tmp_path / "a.warc").write_bytes(b"junk" + record(1, "one"))
+    assert warc.read_archives(spark, f"file://{tmp_path}").count() == 0
+    (tmp_path / "a.warc").write_bytes(record(1, "one") + record(2, "two")[:-2])
+    assert [r["page_id"] for r in warc.read_archives(spark, f"file://{tmp_path}").collect()] == [1]
 
 
 def test_pointer_jumping():
