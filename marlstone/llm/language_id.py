@@ -4,14 +4,16 @@ A word that the model knows is scored by its log frequency in each language. A w
 character n-grams of the greatest length of which the model knows any, down to single characters, with a cost for each
 shorter length. The language with the largest sum over a text wins; the score is its share of probability.
 
-The model is fitted on a sample of labelled rows of about ``SAMPLE`` documents and holds at most ``WORDS`` words a language;
+The model is fitted on a sample of labelled rows of about ``SAMPLE`` documents and holds all words of these;
 a language has its share of the sample, but about ``LEAST`` documents if it has as many, and one in any case;
 rows whose crc32 of the id modulo ``FOLDS`` is 0 are never in it. Prediction reads whole texts and nothing but the text.
+A word is a run of letters, characters of Unicode's category L, in lower case; marks, numbers and all else part words.
 
 Defined cases: null text and text without a letter are ``und`` with score 0; a model without languages (no labelled rows)
 calls every text ``und``; equal scores go to the language that comes first by name; rows with a null id are held in for
-training, their remainder being null counts as not 0; an empty table gives an empty result. Extra columns are kept by
-``identify`` and ``keep_identified``.
+training, their remainder being null counts as not 0; repeated rows get the same result each; texts of any length are read
+whole; an empty table gives an empty result. Extra columns are kept by ``identify`` and ``keep_identified``; a column of a
+result column's name gives way to it.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import table
@@ -32,13 +34,13 @@ from marlstone.llm.common import table
 SAMPLE = 12_000
 #: Documents of a language in the sample, whatever its share of the rows.
 LEAST = 200
-WORDS = 15_000
 FOLDS = 5
 LONGEST = 4
 #: Cost, in log probability, of each step to shorter n-grams.
 STEP = math.log(0.4)
 CACHE = 200_000
 UNKNOWN = "und"
+#: Letters, and numeric signs such as fractions; the latter are parted from them afterwards.
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -61,13 +63,18 @@ class Model:
         rows: dict[str, list[int]] = {}
         grams: list[dict[str, list[int]]] = [{} for _ in range(LONGEST + 1)]
         for j, lang in enumerate(self.langs):
+            own: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
             for word, n in counts[lang].items():
                 rows.setdefault(word, [0] * k)[j] += n
                 padded = f"^{word}$"
                 for size in range(1, LONGEST + 1):
-                    of = grams[size]
+                    of = own[size]
                     for i in range(len(padded) - size + 1):
-                        of.setdefault(padded[i : i + size], [0] * k)[j] += n
+                        g = padded[i : i + size]
+                        of[g] = of.get(g, 0) + n
+            for of, found in zip(grams, own, strict=True):
+                for g, n in found.items():
+                    of.setdefault(g, [0] * k)[j] = n
         self.words = {w: i for i, w in enumerate(rows)}
         self.table = _logs(rows).astype(np.float32)
         self.grams = [dict(zip(g, map(tuple, _logs(g).tolist()), strict=True)) for g in grams]
@@ -98,6 +105,12 @@ class Predictor:
         if not found or not langs:
             return UNKNOWN, 0.0
         times = Counter(found)
+        for word in [w for w in times if w not in self.slot and not w.isalpha()]:
+            n = times.pop(word)
+            for part in "".join(c if c.isalpha() else " " for c in word).split():
+                times[part] += n
+        if not times:
+            return UNKNOWN, 0.0
         total = np.zeros(len(langs))
         for word in [w for w in times if w not in self.slot]:
             row = self.model.unseen(word)
@@ -113,8 +126,8 @@ class Predictor:
         return langs[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, words: int = WORDS) -> Model:
-    """Counts of a sample: at most about ``sample`` documents, and of each language its ``words`` most frequent words."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+    """Counts of all words of a sample: at most about ``sample`` documents."""
     # A row's draw is by its id, by its text where it has none; the smallest draw of each language is always in.
     draw = F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit("sample"))).otherwise(F.xxhash64(F.col(id_col), F.lit("sample"))), F.lit(1 << 20))
     rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).withColumn("__ms_draw", draw)
@@ -126,11 +139,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = rows.join(F.broadcast(bounds), F.col(lang_col).cast("string") == F.col("__ms_of")).where("__ms_draw < __ms_bound")
     found = rows.select(F.col(lang_col).cast("string").alias("lang"), F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("word")).where("word != ''")
     counted = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = counted.withColumn("rank", rank).where(F.col("rank") <= words).select("lang", "word", "n")
     counts: dict[str, dict[str, int]] = {}
-    for r in top.toLocalIterator():  # at most ``words`` a language
-        counts.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    for lang, word, n in zip(*map(pa.ChunkedArray.to_pylist, counted.toArrow().columns), strict=True):  # the words of the sample
+        counts.setdefault(lang, {})[word] = n
     return Model(counts)
 
 

@@ -223,7 +223,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     found = cut(text.mapInArrow(_candidates(with_payload), CANDIDATE), "candidates")
     kept = cut(found.select("file", "block", "n", "size", "head", "length", "tail", "inside").groupBy("file").applyInPandas(_chained, f"{PLACE}, of_block long, of_n int, inside boolean"), "chained")
     place = ["file", "block", "n"]
-    own = found.join(kept.where("inside").select(place), place, "left_semi").select([x.split()[0] for x in RECORD.split(", ")])
+    # Merged whatever their size: what is kept grows with the archives.
+    own = found.join(kept.where("inside").select(place).hint("merge"), place, "left_semi").select([x.split()[0] for x in RECORD.split(", ")])
     apart = kept.where("NOT inside")
     if apart.isEmpty():
         return own

@@ -1,11 +1,14 @@
 """Mixing, language ID and quality rules."""
 
+import math
+import random
 import re
 import zlib
 from collections import Counter
 
 import duckdb
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from marlstone.llm import language_id, mixing, quality_rules
@@ -147,6 +150,57 @@ def test_back_off():
     assert predict("zzzq")[0] == "a" and predict("qkkk")[0] == "b" and predict("qqqq")[0] in "ab"
 
 
+def brute_language(counts, text):
+    """The rule itself: per token, log frequency of a known word, else of the longest n-grams of which any is known."""
+    langs = sorted(counts)
+    vocabulary = sorted({w for la in langs for w in counts[la]})
+    share = lambda n, total, kinds: math.log((n + 0.5) / (total + 0.5 * kinds))
+    grams = {size: {la: Counter() for la in langs} for size in range(1, 5)}
+    for la in langs:
+        for w, n in counts[la].items():
+            for size in grams:
+                for i in range(len(w) + 2 - size + 1):
+                    grams[size][la][f"^{w}$"[i : i + size]] += n
+    tokens = regex.findall(r"\p{L}+", (text or "").lower())
+    if not tokens or not langs:
+        return "und", 0.0
+    total = {la: 0.0 for la in langs}
+    for w in tokens:
+        if w in vocabulary:
+            for la in langs:
+                total[la] += share(counts[la].get(w, 0), sum(counts[la].values()), len(vocabulary))
+            continue
+        for size in range(min(4, len(w) + 2), 0, -1):
+            kinds = {g for la in langs for g in grams[size][la]}
+            found = [g for i in range(len(w) + 2 - size + 1) if (g := f"^{w}$"[i : i + size]) in kinds]
+            if found:
+                for la in langs:
+                    total[la] += sum(share(grams[size][la][g], sum(grams[size][la].values()), len(kinds)) for g in found) / len(found) + math.log(0.4) * (5 - size)
+                break
+    best = max(langs, key=lambda la: (total[la], [-ord(c) for c in la]))
+    return best, 1 / sum(math.exp(total[la] - total[best]) for la in langs)
+
+
+def test_scores_equal_brute_force():
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 8)))
+    counts = {la: {word(letters): rng.randrange(1, 30) for _ in range(60)} for la, letters in (("aa", "abcdeß"), ("bb", "cdefgé"), ("cc", "efghij"))}
+    predict = language_id.Predictor(language_id.Model(counts))
+    known = [w for of in counts.values() for w in of]
+    texts = [" ".join(rng.choice([rng.choice(known), word("abcdefghijßé"), word("xyzü"), "Ⅻ", "½", "x²a", "7"]) for _ in range(rng.randrange(0, 14))) for _ in range(200)] + [None, "", "½ ² ①", "a\u0301b", "A" * 3000]
+    for text in texts:
+        got, want = predict(text), brute_language(counts, text)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-4), text
+    assert predict("½ ² ①") == ("und", 0.0)
+
+
+def test_all_words_of_the_sample_are_known(spark):
+    docs = frame(spark, [(k, " ".join(f"w{chr(97 + k % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(200)), "en", "s") for k in range(100)])
+    model = language_id.fit(docs)
+    held = {k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 0}
+    assert len(model.words) == 200 * len({k % 26 for k in range(100) if k not in held})
+
+
 def test_cache_changes_nothing(monkeypatch):
     m = language_id.Model({"a": {"ab": 5, "ba": 2}, "b": {"bc": 4, "cb": 1}})
     texts = ["abab bcbc ab", "cbcb zz abab", None, "abab bcbc ab", "ba bb bbb"]
