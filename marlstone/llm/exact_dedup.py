@@ -24,15 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm import bloom
 from marlstone.llm.common import cut, no_space
 
 BITS_PER_ROW = 16
-BLOCK_BITS = 32768
 BROADCAST_BYTES = 64 << 20
 #: Bytes that a broadcast row of an id takes, and bits of a filter for each such row.
 ROW_BYTES, LOSER_BITS = 100, 16
 
-_KEY, _LEN, _ROW, _HASH = "__ms_sha", "__ms_len", "__ms_row", "__ms_h"
+_KEY, _LEN, _ROW = "__ms_sha", "__ms_len", "__ms_row"
 
 
 def text_key(text: Column) -> Column:
@@ -44,71 +44,22 @@ def _length(text: Column) -> Column:
     return F.char_length(F.coalesce(text, F.lit("")))
 
 
-def block_bits(rows: int, bits: int = BITS_PER_ROW) -> int:
-    """Bits of a block's number, for a filter of ``bits`` bits a row."""
-    return max(0, (max(rows, 1) * bits - 1).bit_length() - 15)
-
-
-def _slots(df: DataFrame, of_block: int) -> DataFrame:
-    """The hash's upper bits choose the block, so a range of hashes is a range of blocks."""
-    h = F.col(_HASH)
-    return df.withColumns(
-        {
-            "__ms_block": F.shiftrightunsigned(h, 64 - of_block) if of_block else F.lit(0).cast("long"),
-            "__ms_p1": h.bitwiseAND(F.lit(BLOCK_BITS - 1)),
-            "__ms_p2": F.shiftrightunsigned(h, 15).bitwiseAND(F.lit(BLOCK_BITS - 1)),
-        }
-    )
-
-
 def repeated_slots(keys: DataFrame, rows: int) -> DataFrame:
     """The filter of slots set more than once: a bitmap for each block."""
-    slots = _slots(keys, block_bits(rows)).select("__ms_block", F.explode(F.array_distinct(F.array("__ms_p1", "__ms_p2"))).alias("__ms_p"))
-    twice = slots.groupBy("__ms_block", "__ms_p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return twice.groupBy("__ms_block").agg(F.bitmap_construct_agg("__ms_p").alias("__ms_bits"))
-
-
-def _is_set(p: str) -> Column:
-    byte = F.expr(f"cast(conv(hex(substring(__ms_bits, cast({p} / 8 as int) + 1, 1)), 16, 10) as int)")
-    return byte.bitwiseAND(F.expr(f"shiftleft(1, cast({p} % 8 as int))")) != 0
-
-
-def _probed(df: DataFrame, side: DataFrame, of_block: int) -> DataFrame:
-    joined = _slots(df, of_block).join(F.broadcast(side), "__ms_block", "left")
-    return joined.withColumn("__ms_maybe", F.coalesce(_is_set("__ms_p1") & _is_set("__ms_p2"), F.lit(False))).drop("__ms_block", "__ms_p1", "__ms_p2", "__ms_bits")
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def probe(keys: DataFrame, bloom: DataFrame, rows: int) -> DataFrame:
-    """``keys`` with ``__ms_maybe``: whether the filter allows their hash to repeat. A segment of the filter is broadcast at a time."""
-    of_block = block_bits(rows)
-    of_segment = max(0, min(of_block, of_block + 12 - (max(BROADCAST_BYTES, 1).bit_length() - 1)))
-    out = None
-    for s in range(1 << of_segment):
-        part, side = keys, bloom
-        if of_segment:
-            low, wide = s << (64 - of_segment), 1 << (64 - of_segment)
-            part = keys.where(F.col(_HASH).between(F.lit(_signed(low)), F.lit(_signed(low + wide - 1))))
-            low, wide = s << (of_block - of_segment), 1 << (of_block - of_segment)
-            side = bloom.where(F.col("__ms_block").between(F.lit(low), F.lit(low + wide - 1)))
-        one = _probed(part, side, of_block)
-        out = one if out is None else out.unionByName(one)
-    return out
+    slots = bloom.exploded(keys, bloom.block_bits(rows * BITS_PER_ROW))
+    return bloom.bitmaps(slots.groupBy("__ms_block", "__ms_p").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A table of doc_id, hash of the text, its length, a row number; each file in the order of a hash of the hash."""
     keys = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias(_KEY), _length(F.col(text_col)).alias(_LEN), F.monotonically_increasing_id().alias(_ROW))
-    return cut(keys.withColumn(_HASH, F.xxhash64(_KEY)).sortWithinPartitions(_HASH), "dedup-keys")
+    return cut(keys.withColumn(bloom.HASH, F.xxhash64(_KEY)).sortWithinPartitions(bloom.HASH), "dedup-keys")
 
 
 def _split(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keys that repeat nowhere, and those that may, with ``__ms_size`` and ``__ms_best`` of their hash."""
     n = keys.count()
-    probed = probe(keys, cut(repeated_slots(keys, n), "dedup-bloom"), n)
+    probed = bloom.probe(keys, cut(repeated_slots(keys, n), "dedup-bloom"), bloom.block_bits(n * BITS_PER_ROW), BROADCAST_BYTES)
     maybe = cut(probed.where("__ms_maybe"), "dedup-maybe")
     order = F.struct((-F.col(_LEN)).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col(_ROW).alias("r"))
     groups = cut(maybe.groupBy(_KEY).agg(F.count(F.lit(1)).alias("__ms_size"), F.min(order).alias("__ms_best")), "dedup-groups")
@@ -135,11 +86,11 @@ def _suspects(docs: DataFrame, own: Column, ids: DataFrame, n: int) -> tuple[Dat
     if n * ROW_BYTES <= BROADCAST_BYTES:
         return docs.withColumn("__ms_own", own).join(F.broadcast(ids.withColumn("__ms_hit", F.lit(True))), F.col("__ms_own") == F.col("__ms_id"), "left").withColumn("__ms_hit", F.coalesce("__ms_hit", F.lit(False))).drop("__ms_id"), True
     # The filter's bits a row shrink beyond its bound: more documents are then compared, and no other result comes out.
-    of_block = min(block_bits(n, LOSER_BITS), max(0, (BROADCAST_BYTES >> 12).bit_length() - 1))
-    slots = _slots(ids.select(F.xxhash64("__ms_id").alias(_HASH)), of_block).select("__ms_block", F.explode(F.array("__ms_p1", "__ms_p2")).alias("__ms_p"))
-    bloom = cut(slots.distinct().groupBy("__ms_block").agg(F.bitmap_construct_agg("__ms_p").alias("__ms_bits")), "dedup-losers-bloom")
-    hashed = docs.withColumn("__ms_own", own).withColumn(_HASH, F.xxhash64("__ms_own"))
-    return _probed(hashed, bloom, of_block).drop(_HASH).withColumnRenamed("__ms_maybe", "__ms_hit"), False
+    of_block = min(bloom.block_bits(n * LOSER_BITS), max(0, (BROADCAST_BYTES >> 12).bit_length() - 1))
+    slots = bloom.exploded(ids.select(F.xxhash64("__ms_id").alias(bloom.HASH)), of_block)
+    side = cut(bloom.bitmaps(slots.distinct()), "dedup-losers-bloom")
+    hashed = docs.withColumn("__ms_own", own).withColumn(bloom.HASH, F.xxhash64("__ms_own"))
+    return bloom.probe(hashed, side, of_block, BROADCAST_BYTES + (1 << 12)).drop(bloom.HASH).withColumnRenamed("__ms_maybe", "__ms_hit"), False
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

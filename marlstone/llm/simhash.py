@@ -4,9 +4,11 @@ A fingerprint has a bit for each bit position that is set in over half of the XX
 Fingerprints that differ in at most ``MAX_BITS`` bits link. The 64 bits are cut into ``m`` blocks; two linked fingerprints
 agree on at least ``m - MAX_BITS`` of them, so each fingerprint is put under every choice of that many blocks and only
 fingerprints with a common choice are compared. ``m`` grows with the number of distinct fingerprints, which holds the
-expected bucket at about a row. Equal fingerprints are one row from the start, so groups of copies cost nothing. Buckets
-with several fingerprints are cut into chunks of ``CHUNK``, each pair of chunks is one unit of work, and of a unit only a
-spanning forest of its links leaves the task, never all pairs. Connected components of the links are the groups.
+expected bucket at about a row. Equal fingerprints are one row from the start, so groups of copies cost nothing. A bucket
+of more than ``SPLIT`` chunks is split by the pigeonhole again: the bits that its fingerprints need not share are cut into
+``FINER`` blocks, and each fingerprint goes under every choice of all but ``MAX_BITS`` of these. Buckets are cut into chunks
+of ``CHUNK`` rows, each pair of chunks is one unit of work, and of a unit only a spanning forest of its links leaves the
+task, never all pairs. Connected components of the links are the groups.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; repeated rows are a row each of
 the result, with the same component; null ids are no component's smallest unless it has no other, and ``near_dedup`` keeps
@@ -33,6 +35,9 @@ SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 CHUNK = 256
+#: Buckets of more chunks are split by further blocks, of which there are so many choices: about as many rows either way.
+SPLIT = 20
+FINER = 6
 #: Ids of near copies that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -78,11 +83,22 @@ def block_count(n: int, bits: int = MAX_BITS) -> int:
     return m
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _masks(m: int, bits: int) -> list[int]:
     edge = [round(64 * k / m) for k in range(m + 1)]
     block = [((1 << (b - a)) - 1) << a for a, b in zip(edge, edge[1:], strict=False)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(sum(c)) for c in combinations(block, m - bits)]
+    return [_signed(sum(c)) for c in combinations(block, m - bits)]
+
+
+def _finer(mask: int, bits: int) -> list[int]:
+    """The mask with each choice of all but ``bits`` blocks of the positions that it leaves out."""
+    free = [1 << p for p in range(64) if not mask >> p & 1]
+    edge = [round(len(free) * k / FINER) for k in range(FINER + 1)]
+    block = [sum(free[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
+    return [_signed(mask % (1 << 64) | sum(c)) for c in combinations(block, FINER - bits)]
 
 
 _POP8 = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
@@ -141,15 +157,30 @@ def _linked(bits: int):
     return run
 
 
-def links(distinct: DataFrame, n: int, bits: int = MAX_BITS) -> DataFrame:
-    """Links (a, b) that connect all fingerprints (column fp, distinct, n of them) within ``bits`` bits."""
-    masks = F.array(*[F.lit(x) for x in _masks(block_count(n, bits), bits)])
-    rows = distinct.select("fp", F.posexplode(masks).alias("which", "mask")).select("fp", "which", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    hot = rows.groupBy("which", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+def _units(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows (fp, which, key) of the buckets (which, key, n) in ``hot``, under each pair of chunks that theirs belongs to."""
     hot = hot.select("which", turned(F.col("key")).alias("key"), F.ceil(F.col("n") / CHUNK).cast("int").alias("c"))
     member = rows.withColumn("key", turned(F.col("key"))).join(hot, ["which", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
     unit = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda x: F.struct(F.least(F.col("own"), x).alias("i"), F.greatest(F.col("own"), x).alias("j")))
-    units = member.select("which", "key", "fp", F.explode(unit).alias("u")).select("which", "key", "u.i", "u.j", "fp")
+    return member.select("which", "key", "fp", F.explode(unit).alias("u")).select("which", "key", "u.i", "u.j", "fp")
+
+
+def links(distinct: DataFrame, n: int, bits: int = MAX_BITS) -> DataFrame:
+    """Links (a, b) that connect all fingerprints (column fp, distinct, n of them) within ``bits`` bits."""
+    masks = _masks(block_count(n, bits), bits)
+    several = lambda df: df.groupBy("which", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = distinct.select("fp", F.posexplode(F.array(*[F.lit(x) for x in masks])).alias("which", "mask")).select("fp", "which", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    hot = cut(several(rows), "buckets")
+    most = SPLIT * CHUNK
+    units = _units(rows, hot.where(F.col("n") <= most))
+    big = hot.where(F.col("n") > most).select("which", turned(F.col("key")).alias("key"))
+    if not big.isEmpty():
+        inner = rows.withColumn("key", turned(F.col("key"))).join(big, ["which", "key"], "left_semi")
+        of = F.array(*[F.array(*[F.lit(y) for y in _finer(x, bits)]) for x in masks])[F.col("which")]
+        count = F.lit(len(_finer(masks[0], bits)))
+        finer = inner.select("fp", (F.col("which") + 1).alias("w"), F.posexplode(of).alias("k", "mask"))
+        finer = cut(finer.select("fp", (F.col("w") * count + F.col("k") + len(masks)).cast("int").alias("which"), F.col("fp").bitwiseAND(F.col("mask")).alias("key")), "finer-buckets")
+        units = units.unionByName(_units(finer, several(finer)))
     units = units.repartition("which", "key", "i", "j").sortWithinPartitions("which", "key", "i", "j")
     return units.mapInArrow(_linked(bits), "a long, b long").distinct()
 

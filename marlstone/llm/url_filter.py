@@ -1,18 +1,20 @@
 """URL filtering against a list of hosts and paths, in DataFrame functions only.
 
 A list entry is a canonical URL ``host/path`` with a verdict; it fits its host and all subdomains if the URL's path starts
-with its path, and the longest entry that fits wins. A URL's possible entries are its host's suffixes joined with those
-prefixes of its path whose lengths occur in the list. A blocked Bloom filter of the listed entries (one 64-bit word an
-entry and four bits in it) lets few others pass, and an exact hash join removes these false positives.
+with its path, and the longest entry that fits wins. A URL's possible entries are its host's suffixes, of no more labels
+than a listed host has, joined with those prefixes of its path whose lengths occur in the list. A blocked Bloom filter of
+the listed entries lets few others pass, and an exact hash join removes these false positives.
 
-The filter takes ``WORDS_PER_ENTRY`` words for each entry. Filter and list are broadcast up to ``BROADCAST_BYTES``, by their
-counted size, and shuffled beyond it. URLs are judged once for each distinct host and path, so a hot URL costs no more
+The filter takes ``BITS_PER_ENTRY`` bits an entry and is broadcast in segments of ``BROADCAST_BYTES`` at most, by hash range;
+keys are never shuffled to be probed, only those that pass are for the exact join. The list itself is broadcast up to
+``BROADCAST_BYTES``, by its counted size. URLs are judged once for each distinct host and path, so a hot URL costs no more
 than others.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and fits no entry; such URLs, and all that fit
-none, get the default verdict; an entry listed twice with different verdicts blocks; an empty list leaves the default to
-all; an empty table gives an empty result. Extra columns pass through ``filter_urls``, but those that have a result
-column's name give way to it.
+none, get the default verdict; of entries that fit and are equally long the one that comes last by its characters wins;
+an entry listed twice with different verdicts blocks; an empty list leaves the default to all; URLs of any length and
+number of labels are read whole; repeated rows are a row each; an empty table gives an empty result. Extra columns pass
+through ``filter_urls``, but those that have a result column's name give way to it.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm import bloom
 from marlstone.llm.common import cut
 
-WORDS_PER_ENTRY = 4
+BITS_PER_ENTRY = 32
 BROADCAST_BYTES = 32 << 20
 
 #: (host, path, verdict) of the production rules.
@@ -49,29 +52,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _bits(key: Column) -> Column:
-    """The entry's bits in its word of the filter."""
-    h = F.xxhash64(key, F.lit(1))
-    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, s).bitwiseAND(F.lit(63)).cast("int"))
-    return bit(0).bitwiseOR(bit(6)).bitwiseOR(bit(12)).bitwiseOR(bit(18))
-
-
 def matches(urls: DataFrame, listed: DataFrame) -> DataFrame:
     """For each distinct (host, path) that fits an entry: host, path, rule, rule_verdict of the longest."""
-    listed = cut(listed.select(F.concat("host", "path").alias("__ms_key"), F.length("path").alias("__ms_n"), "verdict").groupBy("__ms_key", "__ms_n").agg(F.max("verdict").alias("__ms_verdict")), "url-list")
-    size = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("__ms_key") + 24), F.lit(0)).alias("b"), F.collect_set("__ms_n").alias("lengths")).first()
-    words = max(64, size["n"] * WORDS_PER_ENTRY)
-    bloom = listed.groupBy(F.pmod(F.xxhash64("__ms_key"), F.lit(words)).alias("__ms_word")).agg(F.bit_or(_bits(F.col("__ms_key"))).alias("__ms_bits"))
-    small = lambda df, b: F.broadcast(df) if b <= BROADCAST_BYTES else df
+    entries = listed.select(F.concat("host", "path").alias("__ms_key"), F.length("path").alias("__ms_n"), F.size(F.split("host", r"\.")).alias("__ms_labels"), "verdict")
+    entries = cut(entries.groupBy("__ms_key", "__ms_n", "__ms_labels").agg(F.max("verdict").alias("__ms_verdict")), "url-list")
+    size = entries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("__ms_key") + 24), F.lit(0)).alias("b"), F.collect_set("__ms_n").alias("lengths"), F.coalesce(F.max("__ms_labels"), F.lit(1)).alias("labels")).first()
+    of_block = bloom.block_bits(size["n"] * BITS_PER_ENTRY)
+    filter_ = cut(bloom.bitmaps(bloom.exploded(entries.select(F.xxhash64("__ms_key").alias(bloom.HASH)), of_block).distinct()), "url-bloom")
     distinct = urls.where("host != ''").select("host", "path").distinct()
     # The host's suffixes, then each with the prefixes of the path that have a listed length.
-    labels = F.split("host", r"\.")
-    suffix = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(F.col("__ms_labels"), i, 1 << 20), "."))
+    tail = F.slice(F.split("host", r"\."), F.lit(-1) * F.least(F.lit(size["labels"]), F.size(F.split("host", r"\."))), F.lit(size["labels"]))
+    suffix = F.transform(F.sequence(F.lit(1), F.size("__ms_tail")), lambda i: F.array_join(F.slice(F.col("__ms_tail"), i, size["labels"]), "."))
     prefix = F.filter(F.lit(sorted(size["lengths"])) if size["lengths"] else F.array().cast("array<int>"), lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffix, lambda s: F.transform(prefix, lambda n: F.concat(s, F.col("path").substr(F.lit(1), n)))))
-    possible = distinct.withColumn("__ms_labels", labels).select("host", "path", F.explode(keys).alias("__ms_key")).withColumn("__ms_word", F.pmod(F.xxhash64("__ms_key"), F.lit(words)))
-    passed = possible.join(small(bloom, words * 40), "__ms_word").where(F.col("__ms_bits").bitwiseAND(_bits(F.col("__ms_key"))) == _bits(F.col("__ms_key")))
-    hits = passed.join(small(listed, size["b"] * 4), "__ms_key")
+    possible = distinct.withColumn("__ms_tail", tail).select("host", "path", F.explode(keys).alias("__ms_key")).withColumn(bloom.HASH, F.xxhash64("__ms_key"))
+    passed = bloom.probe(possible, filter_, of_block, BROADCAST_BYTES).where("__ms_maybe")
+    exact = entries.select("__ms_key", "__ms_verdict")
+    hits = passed.join(F.broadcast(exact) if size["b"] * 4 <= BROADCAST_BYTES else exact.hint("merge"), "__ms_key")
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("__ms_key").alias("n"), F.col("__ms_key").alias("rule"), F.col("__ms_verdict").alias("verdict"))).alias("b"))
     return best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.verdict").alias("rule_verdict"))
 
@@ -83,7 +80,8 @@ def filter_urls(pages: DataFrame, by_rule: DataFrame, listed: DataFrame, url_col
     parts = split.select("host", "path")
     found = cut(matches(parts, by_rule).join(matches(parts, listed).select("host", "path", F.col("rule_verdict").alias("list_verdict")), ["host", "path"], "full"), "url-hits")
     found = found.select(F.concat("host", F.lit("")).alias("host"), F.concat("path", F.lit("")).alias("path"), "rule", F.coalesce("rule_verdict", "list_verdict").alias("verdict"))
-    return split.join(found, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    # Merged whatever their size: what is hit grows with the URLs.
+    return split.join(found.hint("merge"), ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
 def op5_url_filter(spark, sf_dir):
@@ -93,7 +91,7 @@ def op5_url_filter(spark, sf_dir):
 
 def _fits(entries: list[tuple[str, str, str]], what: str) -> str:
     """SQL for the longest entry that fits: its key or its verdict."""
-    order = sorted(entries, key=lambda e: (-len(e[0] + e[1]), e[0] + e[1]))
+    order = sorted(sorted(entries, key=lambda e: e[0] + e[1], reverse=True), key=lambda e: -len(e[0] + e[1]))
     cases = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p if what == 'rule' else v}'" for h, p, v in order]
     return f"CASE {' '.join(cases)} END"
 

@@ -242,6 +242,16 @@ def test_every_junk_host_is_blocked(spark):
     assert [verdict[len(urls) + k] for k in range(3)] == ["allow"] * 3
 
 
+@pytest.mark.parametrize("most", [url_filter.BROADCAST_BYTES, 1])
+def test_long_urls_and_long_lists(spark, monkeypatch, most):
+    """A host of very many labels, a long path, and a filter in segments with a list that is joined by a shuffle."""
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", most)
+    listed = [(f"h{k}.com", "/", "block") for k in range(3000)] + [("a.h5.com", "/", "allow"), ("h5.com", "/xx", "block")]
+    urls = ["http://" + "a." * 100_000 + "h7.com/x", "http://h8.com/" + "p" * 1_000_000, "http://b.a.h5.com/x", "http://a.h5.com/xx", "http://x.y/"]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(frame(spark, [(k, u, "") for k, u in enumerate(urls)]), url_filter.rules(spark, listed), url_filter.rules(spark, [])).collect()}
+    assert got == {0: ("h7.com/", "block"), 1: ("h8.com/", "block"), 2: ("a.h5.com/", "allow"), 3: ("h5.com/xx", "block"), 4: (None, "allow")}
+
+
 def test_url_lists(spark):
     """A longer list against plain Python; no false positive of the filter may stay."""
     listed = [(f"h{k}.com", f"/{'p' * (k % 5)}", "block" if k % 2 else "allow") for k in range(800)] + [("h1.com", "/p", "allow")]
