@@ -20,5 +20,7 @@ DIMENSIONS = {"small": 1536, "large": 3072, "store": 1024, "simple": 768}
 #: Sides of joins up to this many rows may be broadcast; the row count is taken first.
 BROADCAST_ROWS = 100_000
 APPEARS_IN, TYPE, DESCRIPTION, IS_DOCUMENT, RELATED_TO = "APPEARS_IN", "TYPE", "DESCRIPTION", "is_document", "RELATED_TO"
+#: Triples that the context of an answer takes, the first in their order.
+CONTEXT_TRIPLES = 10_000
 PROPERTY_PREDICATES = (APPEARS_IN, TYPE, DESCRIPTION)
 EMPTY_ANSWER = "No relevant information found."

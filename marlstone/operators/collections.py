@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,10 +58,14 @@ def collections(df: DataFrame, by: str = "collection_name") -> DataFrame:
     return df.select(by).distinct()
 
 
-def last_of_batch(batch: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key, and in ``__n`` how many rows the batch had of it."""
-    last = F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))
-    return batch.withColumns({"__rank": last, "__n": F.count(F.lit(1)).over(W.partitionBy(key))}).where("__rank = 1").drop("__rank")
+def last_of_batch(batch: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The last row of each key, and in ``__n`` how many rows the batch had of it.
+
+    Rows that ``order`` does not tell apart, all of a key's without one, are in the order of their JSON, so reruns agree.
+    """
+    by = F.struct(*([F.col(order)] if order else []), F.to_json(F.struct(*batch.columns)).alias("__json"))
+    last = batch.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*batch.columns), by).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    return last.select("__row.*", "__n")
 
 
 def prepare(batch: DataFrame, tokens: Column | None = None) -> DataFrame:
@@ -78,7 +81,7 @@ def prepare(batch: DataFrame, tokens: Column | None = None) -> DataFrame:
 
 def upsert(old: DataFrame, batch: DataFrame, key: str = "id", order: str | None = None, now: Column | None = None, status: str = PENDING) -> DataFrame:
     """The next version: new content wins and raises ``_rev`` by the rows that the batch has of the id; others stay."""
-    new = last_of_batch(batch, key, order) if order else batch.dropDuplicates([key]).withColumn("__n", F.lit(1))
+    new = last_of_batch(batch, key, order)
     o, n = old.alias("o"), new.alias("n")
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     changed = F.col(f"n.{key}").isNotNull()
@@ -102,7 +105,7 @@ def upsert(old: DataFrame, batch: DataFrame, key: str = "id", order: str | None
 
 def replace(old: DataFrame, batch: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """Insert or replace, without revisions: of equal ids in the batch the last wins."""
-    new = last_of_batch(batch, key, order).drop("__n") if order else batch.dropDuplicates([key])
+    new = last_of_batch(batch, key, order).drop("__n")
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True).select(old.columns)
 
 
@@ -129,9 +132,10 @@ def delete_cascade(old: DataFrame, quads: DataFrame, ids: DataFrame, key: str =
     return delete(old, ids, key), quads.join(gone, ["object", "predicate"], "left_anti").select(quads.columns)
 
 
-def update_json(old: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Shallow merges of ``data``; text and tokens follow, and the embedding is the new one or null."""
-    n = changes.select(F.col(key), F.col("data").alias("__new"), (F.col("embedding") if "embedding" in changes.columns else F.lit(None).cast("array<float>")).alias("__vector"))
+def update_json(old: DataFrame, changes: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """Shallow merges of ``data``; text and tokens follow, and the embedding is the new one or null. Of several changes of an
+    id the last counts."""
+    n = last_of_batch(changes, key, order).select(F.col(key), F.col("data").alias("__new"), (F.col("embedding") if "embedding" in changes.columns else F.lit(None).cast("array<float>")).alias("__vector"))
     merged = old.join(n, key, "left").withColumn("data", F.when(F.col("__new").isNotNull(), J.merge(F.col("data"), F.col("__new"))).otherwise(F.col("data")))
     content = F.when(F.col("__new").isNotNull(), J.extract_text(F.col("data"))).otherwise(F.col("content"))
     return merged.withColumns({
@@ -143,14 +147,24 @@ def update_json(old: DataFrame, changes: DataFrame, key: str = "id") -> DataFram
 
 
 def create_json(old: DataFrame, batch: DataFrame, collection: str) -> DataFrame:
-    """Appends JSON documents (``data``); the id is the document's own, or a new one."""
+    """Appends JSON documents (``data``); the id is the document's own, or a new one. An id that is there is an error, as
+    ``unique`` raises it when the result is read."""
     given = F.get_json_object("data", "$.id")
     made = batch.select(
         F.coalesce(F.when(F.trim(given) != "", given), F.uuid()).alias("id"), F.lit(collection).alias("collection_name"), "data",
         (F.col("embedding") if "embedding" in batch.columns else F.lit(None).cast("array<float>")).alias("embedding"), J.extract_text(F.col("data")).alias("content"),
     )
     made = made.withColumns({"content_tokens": F.array_join(X.ascii_tokens(F.col("content")), " "), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
-    return old.unionByName(made, allowMissingColumns=True)
+    return unique(old.unionByName(made, allowMissingColumns=True), made.select("id").where(F.length("id") > 0), old)
+
+
+def unique(after: DataFrame, new: DataFrame, old: DataFrame, key: str = "id") -> DataFrame:
+    """``after``, which cannot be read if a key of ``new`` is twice there or in ``old``. Only keys are shuffled."""
+    keys = new.select(F.col(key).alias("__key"), F.lit(1).alias("__n")).unionAll(old.join(new.select(key), key, "left_semi").select(key, F.lit(1)))
+    twice = keys.groupBy("__key").agg(F.sum("__n").alias("__n")).where("__n > 1").agg(F.min("__key").alias("__twice"))
+    message = F.concat(F.lit("an id is there already: "), F.col("__twice").cast("string"))
+    checked = after.withColumn("__one", F.lit(1)).join(F.broadcast(twice.withColumn("__one", F.lit(1))), "__one")  # one row
+    return checked.where(F.when(F.col("__twice").isNull(), True).otherwise(F.raise_error(message).cast("boolean"))).select(after.columns)
 
 
 def backlog(df: DataFrame, limit: int, key: str = "id") -> DataFrame:

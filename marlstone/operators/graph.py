@@ -139,6 +139,21 @@ def subgraph(quads: DataFrame, seeds: DataFrame, depth: int = SUBGRAPH_DEPTH, ex
     return steps_both(kept).join(_side(inner), "node").select(SPO).dropDuplicates(SPO)
 
 
+def subgraph_of_each(quads: DataFrame, seeds: DataFrame, depth: int = SUBGRAPH_DEPTH) -> DataFrame:
+    """(seed and triple) of each seed's own subgraph, in one walk of all seeds."""
+    moves = steps_both(quads)
+    seen = frontier = cut(seeds.select(F.col("node").alias("seed"), "node").distinct(), "frontier")
+    found = None
+    for _ in range(max(depth, 1)):
+        crossed = cut(moves.join(_side(frontier), "node").select("seed", "next", *SPO), "crossed")
+        found = crossed if found is None else found.unionByName(crossed)
+        frontier = cut(crossed.select("seed", F.col("next").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return found.select("seed", *SPO).distinct()
+
+
 def nodes_of(found: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """Distinct entities of triples, and the seeds even if nothing knows them."""
     out = found.select(F.explode(F.array("subject", "object")).alias("node"))

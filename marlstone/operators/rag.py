@@ -11,14 +11,16 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.config import APPEARS_IN, EMPTY_ANSWER, ENTITY_MATCH, ENTITY_TOP, HYBRID_WEIGHTS, RETRIEVE_LIMIT
+from marlstone.config import APPEARS_IN, CONTEXT_TRIPLES, EMPTY_ANSWER, ENTITY_MATCH, ENTITY_TOP, HYBRID_WEIGHTS, RETRIEVE_LIMIT
 from marlstone.functions import json as J
 from marlstone.functions import text as X
 from marlstone.operators import fulltext, graph, vector
 from marlstone.operators.fusion import additive, first_wins, rrf, weighted
 from marlstone.operators.hooks import ANSWER_PROMPT, EXTRACT_PROMPT, KEYWORD_PROMPT, Embedder, LanguageModel, Segmenter, complete_column
+from marlstone.session import cut
 
 MODES = ("vector", "naive", "fulltext", "local", "global", "graph", "hybrid", "mix")
 PRESETS = ("vector", "fulltext", "graph", "hybrid")
@@ -35,7 +37,7 @@ class KnowledgeBase:
     model: LanguageModel | None = None
     segmenter: Segmenter | None = None
 
-    # -- pieces ---------------------------------------------------------------------------------------------------
+    # -- pieces --
 
     def keywords(self, query: str) -> tuple[list[str], list[str]]:
         """Low-level and high-level keywords by the model; none without one. Broken replies are errors."""
@@ -54,8 +56,9 @@ class KnowledgeBase:
         out = rows.select("id", "content", F.col("score").cast("double").alias("score"), "metadata")
         if triples is None:
             return out.withColumn("recalled_triples", F.array().cast(TRIPLES))
-        # Triples of a subgraph of named keywords, gathered for the context of one answer.
-        gathered = triples.agg(F.array_sort(F.collect_set(F.struct("subject", "predicate", "object"))).alias("recalled_triples"))
+        # What the context of one answer takes of a subgraph of named keywords; a hub has more than one row could hold.
+        taken = triples.select(*graph.SPO).distinct().orderBy(*graph.SPO).limit(CONTEXT_TRIPLES)
+        gathered = taken.agg(F.array_sort(F.collect_list(F.struct(*graph.SPO))).alias("recalled_triples"))
         return out.withColumn("__one", F.lit(1)).join(F.broadcast(gathered.withColumn("__one", F.lit(1))), "__one").drop("__one")
 
     def _materialised(self, scores: DataFrame, limit: int, filters: dict | None = None) -> DataFrame:
@@ -89,7 +92,7 @@ class KnowledgeBase:
                 parts.append(self.by_vector(word, limit, filters).select("id", "score"))
         return self._materialised(additive(parts), limit, filters), triples.dropDuplicates(graph.SPO)
 
-    # -- modes ----------------------------------------------------------------------------------------------------
+    # -- modes --
 
     def retrieve(self, query: str, mode: str = "hybrid", limit: int = RETRIEVE_LIMIT, filters: dict | None = None, threshold: float | None = None) -> DataFrame:
         """id, content, score, metadata, recalled_triples, the best first. An unknown mode is full text."""
@@ -177,15 +180,14 @@ class KnowledgeBase:
 
     def semantic_search(self, entities: DataFrame, query: str, limit: int = 10, depth: int = 2) -> DataFrame:
         """Nearest entities (entity_id, entity_name, embedding) with the triples round each of them."""
-        hits = vector.search(entities, self.embedder.embed([query])[0], limit, key="entity_id").select("entity_id", "entity_name", "score")
-        found = None
-        for hit in hits.collect():  # at most ``limit``
-            near = graph.subgraph(self.quads, self._seeds([hit["entity_id"]]), depth).agg(F.array_sort(F.collect_set(F.struct(*graph.SPO))).alias("triples"))
-            row = near.select(F.lit(hit["entity_id"]).alias("entity_id"), F.lit(hit["entity_name"]).alias("entity_name"), F.lit(hit["score"]).alias("score"), "triples")
-            found = row if found is None else found.unionByName(row)
-        return found if found is not None else hits.withColumn("triples", F.array().cast(TRIPLES))
-
-    # -- answers --------------------------------------------------------------------------------------------------
+        hits = cut(vector.search(entities, self.embedder.embed([query])[0], limit, key="entity_id").select("entity_id", "entity_name", "score"), "hits")
+        near = graph.subgraph_of_each(self.quads, hits.select(F.col("entity_id").alias("node")), depth)
+        rank = F.row_number().over(W.partitionBy("seed").orderBy(*graph.SPO))
+        taken = near.withColumn("__n", rank).where(F.col("__n") <= CONTEXT_TRIPLES)
+        gathered = taken.groupBy(F.col("seed").alias("entity_id")).agg(F.array_sort(F.collect_list(F.struct(*graph.SPO))).alias("triples"))
+        return hits.join(gathered, "entity_id", "left").withColumn("triples", F.coalesce("triples", F.array().cast(TRIPLES)))
+
+    # -- answers --
 
     def context(self, results: DataFrame) -> DataFrame:
         """One row: the context of an answer, from the (bounded) results of a retrieval."""

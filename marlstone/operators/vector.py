@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,29 +50,77 @@ def search_postfiltered(df: DataFrame, query: list[float], k: int, filters: dict
     return top_k(fetched.where(J.matches(filters, F.col("metadata"))), k, key)
 
 
-def search_many(df: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, key: str = "id", vector: str = "embedding", block: int = 256) -> DataFrame:
+def search_many(df: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, key: str = "id", vector: str = "embedding", block: int = 2048) -> DataFrame:
     """Nearest k for each row of a stated query set (query_id, query_vector), by blocks of queries against all rows.
 
-    Each block of queries is one scan; the rank limit is applied in each task before the shuffle, so only k rows a task and
-    query leave it.
+    A block of queries is a matrix that is broadcast, and one scan multiplies each Arrow batch of rows by it. A task keeps the
+    best k of each query, so only these leave it. Scores are compared to twelve digits, then by key. Vectors of another
+    length than the query's, and zero ones, score 0.
     """
-    rows, found, batch = ready(df, vector), None, []
+    rows, found, batch = ready(df, vector).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")), None, []
+    kind = rows.schema["key"].dataType.simpleString()
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), key))
 
     def scan() -> DataFrame:
-        scores = F.array(*[F.struct(F.lit(q["query_id"]).alias("query_id"), V.cosine_to(F.col(vector), list(q["query_vector"])).alias("score")) for q in batch])
-        pairs = rows.select(key, F.explode(scores).alias("s")).select("s.query_id", key, "s.score")
-        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), key))
-        return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+        ids = df.sparkSession.createDataFrame([(i, q["query_id"]) for i, q in enumerate(batch)], f"at int, query_id {queries.schema['query_id'].dataType.simpleString()}")
+        shared = df.sparkSession.sparkContext.broadcast([list(q["query_vector"]) for q in batch])
+        best = rows.mapInArrow(_nearest(shared, k), f"at int, key {kind}, score double").join(F.broadcast(ids), "at")
+        return best.select("query_id", F.col("key").alias(key), "score").withColumn("rank", rank).where(F.col("rank") <= k)
 
     for q in queries.toLocalIterator():
         batch.append(q)
         if len(batch) == block:
             found, batch = scan() if found is None else found.unionByName(scan()), []
-    if batch:
+    if batch or found is None:
         found = scan() if found is None else found.unionByName(scan())
     return found
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay."""
+    length = np.sqrt(np.einsum("ij,ij->i", m, m))
+    return m / np.where(length > 0, length, 1.0)[:, None]
+
+
+def _nearest(queries, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, list[int]] = {}
+        for i, q in enumerate(queries.value):
+            asked.setdefault(len(q), []).append(i)
+        of = {n: (np.array(at), _unit(np.array([queries.value[i] for i in at], np.float64).reshape(len(at), n))) for n, at in asked.items()}
+        held: pa.Table | None = None
+
+        def best(found: pa.Table) -> pa.Table:
+            """The best k of each query."""
+            found = found.append_column("r", pc.round(found["score"], 12)).sort_by([("at", "ascending"), ("r", "descending"), ("key", "ascending")])
+            at = found["at"].to_numpy()
+            first = np.searchsorted(at, at)
+            return found.filter(pa.array(np.arange(len(at)) - first < k)).drop_columns(["r"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column("v")
+            size = pc.list_value_length(v).to_numpy(zero_copy_only=False)
+            scores = np.zeros((batch.num_rows, len(queries.value)))
+            for n in np.unique(size):
+                if n in of and n:
+                    at, q = of[int(n)]
+                    mine = np.flatnonzero(size == n)
+                    m = np.array(v.take(pa.array(mine)).flatten(), np.float64).reshape(len(mine), int(n))
+                    scores[np.ix_(mine, at)] = _unit(m) @ q.T
+            scores = scores.round(12) + 0.0
+            # Ties with the k-th stay until keys decide.
+            least = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(scores.shape[1], -np.inf)
+            row, col = np.nonzero(scores >= least)
+            new = pa.table({"at": pa.array(col.astype(np.int32)), "key": batch.column("key").take(pa.array(row)), "score": pa.array(scores[row, col])})
+            held = best(new if held is None else pa.concat_tables([held, new]))
+        if held is not None:
+            yield from held.to_batches()
+
+    return run
+
+
 def search_media(df: DataFrame, text_query: list[float] | None, image_query: list[float] | None, k: int = SEARCH_LIMIT, images_first: bool = False, key: str = "id") -> DataFrame:
     """Text and image hits together, by score, or images before texts in the compatible form."""
     arms = [search(df, q, k, vector=f"{kind}_embedding", key=key).select(key, "content", "score", F.lit(kind).alias("source"), F.lit(rank).alias("__rank")) for rank, kind, q in ((0, "image", image_query), (1, "text", text_query)) if q]

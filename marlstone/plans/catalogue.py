@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from marlstone.functions import json as J
 from marlstone.functions import text as X
 from marlstone.functions import vector as V
-from marlstone.operators import chunk, collections, fulltext, fusion, graph, gremlin, hooks, rag, vector
-from marlstone.plans import inherited
+from marlstone.operators import chunk, collections, fulltext, fusion, graph, gremlin, hooks, vector
+from marlstone.plans import inherited, services
+from marlstone.session import spread
 from marlstone.sources import files
 from marlstone.sources.tables import parquet
 from marlstone.streaming import embedding as streaming
@@ -28,7 +29,7 @@ def query(sql: str | None = None):
     return add
 
 
-# -- vectors ----------------------------------------------------------------------------------------------------------
+# -- vectors --
 
 _Q = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {i})"
 _COS = "list_cosine_similarity(embedding::DOUBLE[], " + _Q + ")"
@@ -129,13 +130,18 @@ def additive_keyword_score(spark, sf_dir):
     return _rounded(fusion.additive([_arms(spark, sf_dir)[0], links], "vec_id"))
 
 
-# -- full text --------------------------------------------------------------------------------------------------------
+# -- full text --
 
 
 def _docs(spark, sf_dir) -> DataFrame:
     return parquet(spark, sf_dir, "documents")
 
 
+def _spread(spark, sf_dir) -> DataFrame:
+    """Documents over all cores, where work on their texts outweighs that."""
+    return spread(_docs(spark, sf_dir))
+
+
 @query("SELECT doc_id FROM documents WHERE text ILIKE '%tion%' OR text ILIKE '%ière%'")
 def ft_ilike_any(spark, sf_dir):
     return fulltext.substring_any(_docs(spark, sf_dir), ["tion", "IÈRE"], ("text",), "doc_id", None).select("doc_id")
@@ -174,26 +180,26 @@ FROM tf JOIN df ON tf.term = df.term JOIN dl ON tf.doc_id = dl.doc_id CROSS JOIN
 
 @query(_BM25)
 def ft_bm25(spark, sf_dir):
-    return fulltext.bm25(_docs(spark, sf_dir), ["the", "from"], "doc_id", "text", None).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+    return fulltext.bm25(_spread(spark, sf_dir), ["the", "from"], "doc_id", "text", None).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 @query(_BM25)
 def ft_bm25_index(spark, sf_dir):
-    postings, lengths = fulltext.index(_docs(spark, sf_dir), "doc_id", "text")
+    postings, lengths = fulltext.index(_spread(spark, sf_dir), "doc_id", "text")
     return fulltext.bm25_from_index(postings, lengths, ["the", "from"], "doc_id", 1000).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 @query("""SELECT t.term, count(*) AS tf, count(DISTINCT doc_id) AS df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(DISTINCT doc_id))) + 1, 6) AS idf
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents), unnest(ts) AS t(term) GROUP BY t.term""")
 def ft_vocabulary(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
+    docs = _spread(spark, sf_dir)
     postings, _ = fulltext.index(docs, "doc_id", "text")
     n = docs.count()
     terms = postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
     return terms.withColumn("idf", F.round(F.log(F.lit(1 + n) / (1 + F.col("df"))) + 1, 6))
 
 
-# -- graph ------------------------------------------------------------------------------------------------------------
+# -- graph --
 
 _T = """t AS (SELECT 'c' || c_custkey AS s, 'IN_NATION' AS p, 'n' || c_nationkey AS o FROM customer
 UNION SELECT 'n' || n_nationkey, 'IN_REGION', 'r' || n_regionkey FROM nation
@@ -321,7 +327,7 @@ def graph_link_unlink(spark, sf_dir):
     return graph.link(graph.unlink(quads, gone), spark.createDataFrame([("c1", "KNOWS", "c2"), ("c1", "KNOWS", "c2")], "subject string, predicate string, object string")).select("subject", "predicate", "object")
 
 
-# -- collections ------------------------------------------------------------------------------------------------------
+# -- collections --
 
 
 @query("SELECT DISTINCT source AS collection_name FROM documents")
@@ -370,7 +376,7 @@ def doc_replace(spark, sf_dir):
     return collections.replace(docs, docs.where("doc_id % 2 = 0").withColumn("lang", F.lit("xx")), "doc_id")
 
 
-# -- JSON and text ----------------------------------------------------------------------------------------------------
+# -- JSON and text --
 
 
 @query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '5'")
@@ -398,12 +404,12 @@ def simple_embed(spark, sf_dir):
 
 @query(r"SELECT doc_id, trim(regexp_replace(text, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]+', ' ', 'g')) AS text FROM documents")
 def text_normalize(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", X.normalize_space(F.col("text")).alias("text"))
+    return _spread(spark, sf_dir).select("doc_id", X.normalize_space(F.col("text")).alias("text"))
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '[^\p{Han}a-zA-Z\p{Nd}\p{P}\s\x{85}\x{A0}\x{2028}\x{2029}]', '', 'g') AS text FROM documents")
 def text_valid_chars(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", X.valid_characters(F.col("text")).alias("text"))
+    return _spread(spark, sf_dir).select("doc_id", X.valid_characters(F.col("text")).alias("text"))
 
 
 @query("SELECT doc_id, md5(text) AS md5, strlen(text)::BIGINT AS bytes, length(text)::BIGINT AS chars FROM documents")
@@ -413,13 +419,13 @@ def text_md5_lengths(spark, sf_dir):
 
 @query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^#{1,6}[ \t]')))::BIGINT AS headers FROM documents")
 def md_header_flag(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(F.filter(F.split("text", "\n"), X.is_header)).cast("long").alias("headers"))
+    return _spread(spark, sf_dir).select("doc_id", F.size(F.filter(F.split("text", "\n"), X.is_header)).cast("long").alias("headers"))
 
 
 @query(r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|') AND CASE WHEN contains(x, '---') THEN regexp_matches(x, '\|[\s:]*[-:]+[\s:]*\|')
 ELSE starts_with(trim(x, chr(32) || chr(9) || chr(13)), '|') END))::BIGINT AS rows FROM documents""")
 def md_table_flag(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(F.filter(F.split("text", "\n"), X.is_table_row)).cast("long").alias("rows"))
+    return _spread(spark, sf_dir).select("doc_id", F.size(F.filter(F.split("text", "\n"), X.is_table_row)).cast("long").alias("rows"))
 
 
 @query(r"""WITH t(id, reply) AS (VALUES (1, 'Sure: {"a": 1} done'), (2, 'list [1, 2] end'), (3, 'none'), (4, 'x {"b": [1]} y {"c": 2} z'))
@@ -444,12 +450,12 @@ def conversation_context(spark, sf_dir):
     return rows.select("conv_id", F.array_join(F.transform("t", lambda x: F.concat(x.role, F.lit(": "), x.text)), "\n").alias("dialogue"), "turns")
 
 
-# -- not expressible in SQL -------------------------------------------------------------------------------------------
+# -- not expressible in SQL --
 
 
 @query()
 def chunk_documents(spark, sf_dir):
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    docs = _spread(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return chunk.chunk_documents(docs)
 
 
@@ -471,23 +477,6 @@ def embed_backlog(spark, sf_dir):
     return done.groupBy("embedding_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _base(spark, sf_dir) -> rag.KnowledgeBase:
-    e = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang").join(e, "doc_id", "left")
-    docs = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.to_json(F.struct("lang")).alias("metadata"), V.byte_embedding(F.col("text"), 64).cast("array<float>").alias("embedding"), F.lit("completed").alias("embedding_status"))
-    quads = docs.select(F.get_json_object("metadata", "$.lang").alias("subject"), F.lit("APPEARS_IN").alias("predicate"), F.col("id").alias("object"))
-    return rag.KnowledgeBase(docs, quads, hooks.ByteEmbedder(64))
-
-
-@query()
-def rag_naive_hybrid(spark, sf_dir):
-    return _base(spark, sf_dir).retrieve("the tion of and", "hybrid", 5).select("id", F.round("score", 6).alias("score"))
-
-
-@query()
-def rag_graph(spark, sf_dir):
-    return _base(spark, sf_dir).by_graph(["fr"], 5).select("id", "score")
-
-
-QUERIES.update(inherited.QUERIES)
-ORACLE.update(inherited.ORACLE)
+for _more in (inherited, services):
+    QUERIES.update(_more.QUERIES)
+    ORACLE.update(_more.ORACLE)

@@ -50,14 +50,14 @@ def set_intersect(spark, sf_dir):
     return parquet(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).intersect(parquet(spark, sf_dir, "orders").select("o_custkey"))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def set_except(spark, sf_dir):
-    return parquet(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(parquet(spark, sf_dir, "orders").select("o_custkey"))
+    return parquet(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(parquet(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_join(spark, sf_dir):
-    return parquet(spark, sf_dir, "customer").join(parquet(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return parquet(spark, sf_dir, "customer").join(parquet(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT * FROM (PIVOT (SELECT o_orderstatus, o_orderpriority FROM orders) ON o_orderstatus IN ('F', 'O', 'P') USING count(*) GROUP BY o_orderpriority)")
@@ -159,3 +159,37 @@ def set_union(spark, sf_dir):
 def lag_and_ntile(spark, sf_dir):
     by_user, by_type = W.partitionBy("user_id").orderBy("ts", "event_id"), W.partitionBy("event_type").orderBy("value", "event_id")
     return parquet(spark, sf_dir, "events").select("event_id", "user_id", (F.col("ts") - F.lag("ts").over(by_user) > F.expr("INTERVAL 1 HOUR")).alias("pause"), F.ntile(4).over(by_type).alias("quarter"))
+
+
+@query("SELECT o_custkey AS k FROM orders INTERSECT ALL SELECT user_id FROM events")
+def set_intersect_all(spark, sf_dir):
+    return parquet(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).intersectAll(parquet(spark, sf_dir, "events").select("user_id"))
+
+
+@query("SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT user_id FROM events WHERE event_type = 'click'")
+def set_except_all(spark, sf_dir):
+    return parquet(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).exceptAll(parquet(spark, sf_dir, "events").where("event_type = 'click'").select("user_id"))
+
+
+@query("""SELECT l_returnflag, true AS suppliers_near, true AS median_near FROM lineitem GROUP BY l_returnflag""")
+def approximate_aggregates(spark, sf_dir):
+    """Sketches of distinct counts and quantiles, held against the exact figures by their stated errors."""
+    near = lambda a, b, e: F.abs(a - b) <= e * b
+    rows = parquet(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
+        F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.count_distinct("l_partkey").alias("b"), F.percentile_approx("l_extendedprice", 0.5, 10_000).alias("m"), F.expr("percentile(l_extendedprice, 0.5)").alias("n")
+    )
+    return rows.select("l_returnflag", near(F.col("a"), F.col("b"), 0.1).alias("suppliers_near"), near(F.col("m"), F.col("n"), 0.01).alias("median_near"))
+
+
+@query("""WITH p AS (SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE l_orderkey % 10 = 0) AS e FROM lineitem GROUP BY 1) SELECT l_returnflag, true AS share_near FROM p""")
+def table_sample(spark, sf_dir):
+    """A seeded sample of a tenth: its share of each group is near a tenth."""
+    rows = parquet(spark, sf_dir, "lineitem")
+    drawn = rows.sample(0.1, seed=7).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("k"))
+    return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")).join(drawn, "l_returnflag").select("l_returnflag", (F.abs(F.col("k") / F.col("n") - 0.1) < 0.02).alias("share_near"))
+
+
+@query("SELECT o_orderkey, event_id FROM orders JOIN events ON o_custkey = user_id AND o_orderstatus = 'P' AND event_type = 'purchase'")
+def equi_join_filtered(spark, sf_dir):
+    o, e = parquet(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), parquet(spark, sf_dir, "events").where("event_type = 'purchase'")
+    return o.join(e, F.col("o_custkey") == F.col("user_id")).select("o_orderkey", "event_id")
