@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone import schemas
-from marlstone.config import PAGE_LIMIT, REST_PATH_DEPTH, SEARCH_LIMIT
+from marlstone.config import PAGE_LIMIT, REST_PATH_DEPTH, SEARCH_LIMIT, SUBGRAPH_DEPTH
 from marlstone.functions import json as J
 from marlstone.operators import collections as C
-from marlstone.operators import fulltext, graph, gremlin, vector
+from marlstone.operators import chunk, fulltext, graph, gremlin, vector
 from marlstone.operators.hooks import Embedder
 from marlstone.operators.store import TableStore
 
@@ -32,7 +34,7 @@ class Service:
     def _quads(self) -> DataFrame:
         return self.store.read("quads", schemas.QUADS)
 
-    # -- collections and documents ---------------------------------------------------------------------------------
+    # -- collections and documents --
 
     def info(self) -> dict:
         return {"tables": self.store.names(), "documents": self._docs().count(), "triples": self._quads().count()}
@@ -44,12 +46,25 @@ class Service:
         return {"name": name, "count": self._docs(name).count(), "schema": {f.name: f.dataType.simpleString() for f in schemas.REST_DOCUMENTS.fields}}
 
     def create(self, collection: str, data: dict) -> str:
+        """The new document's id; one that is there already, in any collection, is an error."""
         data = {**data, "id": str(data.get("id") or "").strip() or self.spark.range(1).select(F.uuid()).first()[0]}
         vector_ = data.get("embedding")
         row = self.spark.createDataFrame([(json.dumps(data, ensure_ascii=False), vector_)], "data string, embedding array<float>")
         self.store.change("documents", lambda old: C.create_json(old, row, collection), schemas.REST_DOCUMENTS)
         return data["id"]
 
+    def create_many(self, collection: str, rows: list[dict]) -> list[str]:
+        """The new documents' ids, all of them put in or none."""
+        made = [{**r, "id": str(r.get("id") or "").strip() or str(uuid.uuid4())} for r in rows]
+        batch = self.spark.createDataFrame([(json.dumps(r, ensure_ascii=False), r.get("embedding")) for r in made], "data string, embedding array<float>")
+        self.store.change("documents", lambda old: C.create_json(old, batch, collection), schemas.REST_DOCUMENTS)
+        return [r["id"] for r in made]
+
+    def chunk(self, collection: str, doc_id: str, config: chunk.ChunkConfig = chunk.ChunkConfig()) -> list[str]:  # noqa: B008
+        """The chunks of a document's text."""
+        self.get(collection, doc_id)
+        return chunk.split_text(C.find_by_id(self._docs(collection), doc_id).first()["content"], config)
+
     def get(self, collection: str, doc_id: str) -> dict:
         row = C.find_by_id(self._docs(collection), doc_id).first()
         if row is None:
@@ -63,14 +78,19 @@ class Service:
     def update(self, collection: str, doc_id: str, changes: dict) -> dict:
         self.get(collection, doc_id)
         row = self.spark.createDataFrame([(doc_id, json.dumps(changes, ensure_ascii=False), changes.get("embedding"))], "id string, data string, embedding array<float>")
-        self.store.change("documents", lambda old: C.update_json(old, row))
+        self._change(collection, lambda mine: C.update_json(mine, row))
         return self.get(collection, doc_id)
 
     def delete(self, collection: str, doc_id: str) -> None:
         self.get(collection, doc_id)
-        self.store.change("documents", lambda old: C.delete(old, self.spark.createDataFrame([(doc_id,)], "id string")))
+        self._change(collection, lambda mine: C.delete(mine, self.spark.createDataFrame([(doc_id,)], "id string")))
 
-    # -- search ----------------------------------------------------------------------------------------------------
+    def _change(self, collection: str, step: Callable[[DataFrame], DataFrame]) -> None:
+        """A step over the documents of one collection; the others stay as they are."""
+        mine = F.coalesce(F.col("collection_name") == collection, F.lit(False))
+        self.store.change("documents", lambda old: old.where(~mine).unionByName(step(old.where(mine))))
+
+    # -- search --
 
     def fulltext(self, collection: str, query: str, limit: int = SEARCH_LIMIT, threshold: float | None = None) -> dict:
         began = time.time()
@@ -91,11 +111,27 @@ class Service:
         rows = self._docs(collection).select("id", "data").join(F.broadcast(hits), "id").orderBy(F.desc("score"), "id").collect()  # hits: at most the limit
         return {"results": [{"id": r["id"], "score": r["score"], "data": json.loads(r["data"])} for r in rows], "took": round(1000 * (time.time() - began))}
 
-    # -- graph -----------------------------------------------------------------------------------------------------
+    # -- graph --
 
     def _triple(self, s: str, p: str, o: str) -> DataFrame:
         return self.spark.createDataFrame([(s, p, o)], "subject string, predicate string, object string")
 
+    def entity(self, name: str) -> dict:
+        """An entity's type, description, documents and relations."""
+        quads = self._quads()
+        own = graph.entities(quads.where(F.col("subject") == name)).first()
+        seed = self.spark.createDataFrame([(name,)], "node string")
+        relations = graph.export_graph(quads)[1].where((F.col("source") == name) | (F.col("target") == name))
+        return {
+            "name": name, "type": own["type"] if own else "", "description": own["description"] if own else "",
+            "documents": sorted(r["id"] for r in graph.documents_of(quads, seed).collect()), "relations": sorted(tuple(r) for r in relations.collect()),
+        }
+
+    def subgraph(self, node: str, depth: int = SUBGRAPH_DEPTH) -> dict:
+        """Nodes and links round a node, for drawing."""
+        nodes, links = graph.view(graph.subgraph(self._quads(), self.spark.createDataFrame([(node,)], "node string"), depth))
+        return {"nodes": sorted(r["id"] for r in nodes.collect()), "links": sorted(tuple(r) for r in links.collect())}
+
     def link(self, s: str, p: str, o: str) -> None:
         self.store.change("quads", lambda q: graph.link(q, self._triple(s, p, o)), schemas.QUADS)
 

@@ -52,7 +52,7 @@ def is_header(text: Column) -> Column:
 
 def is_table_row(text: Column) -> Column:
     t = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    ruled = t.rlike(r"\|[\s:]*[-:]+[\s:]*\|")
+    ruled = t.rlike(r"[|][:\s]*[:-]+[:\s]*[|]")
     return F.when(~t.contains("|"), False).when(t.contains("---"), ruled).otherwise(t.startswith("|"))
 
 

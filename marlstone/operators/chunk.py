@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from marlstone.operators.hooks import Segmenter, WordSegmenter
 
 HARD_LIMIT = 8000
-_RULE = re.compile(r"\|[\s:]*[-:]+[\s:]*\|")
-_BREAK = re.compile(r"((?:^|\n)#{1,6}\s+[^\n\r]*|[.!?。！？\n\r][.!?。！？\n\r\s]*)")
+_RULE = re.compile(r"[|][:\s]*[:-]+[:\s]*[|]")
+_BREAK = re.compile(r"((?:\A|\n)#{1,6}\s+[^\r\n]*|[\n\r！。？!.?](?:[！。？!.?]|\s)*)")
 _HEADER = re.compile(r"#{1,6}[ \t]")
 _GONE = re.compile("[\n\r\t\f\v\0\u0085\u2028\u2029]")
 

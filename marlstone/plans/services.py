@@ -84,7 +84,7 @@ def _sql_rrf(a: str, b: str) -> str:
 
 
 def _best(of: str, k: int = 5) -> str:
-    return f"WITH {_KB} SELECT id, round(score, 6) AS score FROM {of} ORDER BY round(score, 6) DESC, id LIMIT {k}"
+    return f"WITH {_KB} SELECT id, round(score::DOUBLE, 6) AS score FROM {of} ORDER BY round(score, 6) DESC, id LIMIT {k}"
 
 
 def _answer(found: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def rag_related(spark, sf_dir):
     return _answer(_base(spark, sf_dir).by_related(["Apple"], 7))
 
 
-@query(f"WITH {_KB} SELECT id, round(score, 6) AS score FROM {_sql_arm(['Paris'], 20)} WHERE score >= 1.5 ORDER BY score DESC, id LIMIT 20")
+@query(f"WITH {_KB} SELECT id, round(score::DOUBLE, 6) AS score FROM {_sql_arm(['Paris'], 20)} WHERE score >= 1.5 ORDER BY score DESC, id LIMIT 20")
 def rag_local_threshold(spark, sf_dir):
     return _answer(_base(spark, sf_dir).retrieve(ASKED, "local", 20, threshold=1.5))
 

@@ -21,6 +21,16 @@ def test_service(spark, tmp_path):
     assert [r["id"] for r in s.vector("articles", "Capital")["results"]] == ["a"]
     assert s.vector("articles", e.embed(["Capital"])[0], threshold=1.1)["results"] == []
     assert s.update("articles", "a", {"title": "New"})["title"] == "New" and s.vector("articles", "Capital")["results"] == []
+    with pytest.raises(Exception, match="an id is there already: a"):
+        s.create("other", {"id": "a", "title": "Twice"})
+    with pytest.raises(Exception, match="an id is there already"):
+        s.create_many("other", [{"id": "p", "title": "One"}, {"id": "p", "title": "Two"}])
+    assert s.create_many("other", [{"id": "o", "title": "Other things"}, {"title": "And more"}])[0] == "o" and s.collection("other")["count"] == 2
+    with pytest.raises(api.NotFound):
+        s.delete("articles", "o")
+    assert s.chunk("other", "o") == ["Other things"] and s.list("articles").count() == 2
+    for r in s.list("other").collect():
+        s.delete("other", r["id"])
     s.delete("articles", b)
     with pytest.raises(api.NotFound):
         s.get("articles", b)
@@ -28,6 +38,12 @@ def test_service(spark, tmp_path):
         s.link(*t)
     assert s.neighbors("u1") == ["u2"] and s.neighbors("u3", incoming=True) == ["u2"]
     assert s.path("u1", "u3") == ["u1", "u2", "u3"] and s.path("u3", "u1") is None and s.query("V('u1').Out('follows')") == ["u2"]
+    for t in (("u1", "TYPE", "User"), ("u1", "APPEARS_IN", "a")):
+        s.link(*t)
+    assert s.entity("u1") == {"name": "u1", "type": "User", "description": "", "documents": ["a"], "relations": [("u1", "follows", "u2")]}
+    assert s.subgraph("u3", 1) == {"nodes": ["u2", "u3"], "links": [("u2", "follows", "u3")]}
+    for t in (("u1", "TYPE", "User"), ("u1", "APPEARS_IN", "a")):
+        s.unlink(*t)
     s.unlink("u1", "follows", "u2")
     assert s.info() == {"tables": ["documents", "quads"], "documents": 1, "triples": 1}
 
