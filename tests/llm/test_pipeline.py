@@ -39,3 +39,40 @@ def test_each_stage_alone(spark, sf):
         out = stage(spark, docs.limit(0), sf)
         assert out.count() == 0
         assert name == "packing" or out.columns == docs.columns
+
+
+def test_edges_from_end_to_end(spark, tmp_path):
+    """Nulls in each column, repeated rows and ids, a very long text, ties, and columns that clash with inner names."""
+    english = "the house number {0} is big and the dog of the neighbour runs to it every day before he sleeps there {0}"
+    french = "la maison numero {0} est grande et le chien du voisin y court chaque jour avant de dormir la bas {0}"
+    rows = [(k, (french if k % 3 == 0 else english).format(f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 9), "fr" if k % 3 == 0 else "en", f"s{k % 4}", 1) for k in range(300)]
+    rows += [(300, None, "en", "s1", 1), (301, "", None, None, 1), (302, " \n", "en", "s0", 1), (303, "77 !! ½", "en", "s0", 1)]
+    rows += [(None, english.format("null id"), "en", None, None), (304, french.format("null lang"), None, "s2", 1), (305, english.format("null source"), "en", None, 1)]
+    rows += [rows[7], rows[7], (7, rows[8][1], "en", "s3", 1), (400, rows[9][1] + "  ", "fr", "s1", 1), (306, "the long dog " * 60_000, "en", "s1", 1)]
+    clash = "doc_id long, text string, lang string, source string, n_chars long, p double, fp long, kept boolean, n long, topic string, score double, piece int, at int, host string"
+    spark.createDataFrame([(*r, 0.5, 1, False, 2, "t", 0.1, 3, 4, "h") for r in rows], clash).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, left = left.count(), stage(spark, left, str(tmp_path))
+        assert left.columns == docs.columns, name
+        kept = left.collect()
+        left = spark.createDataFrame(kept, docs.schema)
+        assert 0 < len(kept) <= before, name
+        ids = [r["doc_id"] for r in kept]
+        if name == "language_id":
+            assert not {300, 301, 302, 303} & set(ids) and {None, 304, 305, 306, 7, 400} <= set(ids)
+        if name == "exact_dedup":
+            assert ids.count(7) == 2 and 400 in ids and 8 not in ids and 9 not in ids
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = {r["doc_id"]: r["text"] for r in kept}
+    assert {r["doc_id"] for r in out} == set(texts)
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
