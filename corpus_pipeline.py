@@ -1,6 +1,13 @@
 """Documents to training sequences: language ID, exact dedup, near-dedup, mixing, packing.
 
 Each stage works on all that its predecessor kept. The stages before the last return the columns of ``documents``.
+
+Defined cases, stage by stage; each operator's module says more. Null, empty and blank texts, and those without a letter, go with
+language ID, as does what it scores under a half; null ids, languages and sources go through all stages. Rows that repeat a
+document are one after exact dedup, that with most code points, then the smallest id, null ids last. Of near copies the smallest id stays,
+rows without an id all do. Mixing draws rows by id, those without one by text, and null sources and languages are a value
+of their own. Packing takes whatever is left; texts of any length stay whole until it cuts pieces of them. An empty table
+gives an empty result in each stage. Extra columns go through to the last stage, which leaves them out.
 ``ORACLE_SQL`` is None: the language model, SimHash and packing cannot be said in SQL; tests/llm holds a brute-force version.
 """
 
