@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.session import remove_at_exit, shared_folder, spread
+from marlstone.session import remove, remove_at_exit, shared_folder, spread
 
 #: White space of all operators: U+0020 and U+0009 to U+000D, nothing else.
 WS = r"[\x20\x09-\x0D]"
@@ -31,6 +31,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the scratch table that ``df`` reads, once nothing reads it any more; other tables are left alone."""
+    spark = df.sparkSession
+    own = scratch_root(spark).split(":", 1)[-1].replace("//", "/")
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if folder.split(":", 1)[-1].replace("//", "/").lstrip("/").startswith(own.lstrip("/") + "/"):
+            remove(spark, folder)
+
+
 def no_space(text: Column) -> Column:
     """The text without any white space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), WS + "+", "")

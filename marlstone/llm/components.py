@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut
+from marlstone.llm.common import cut, release
 
 ROUNDS = 64
 
@@ -31,7 +31,8 @@ def components(links: DataFrame) -> DataFrame:
         up = parent.where("node != up")  # a table: joins shuffle it, and hot nodes can be split
         moved = links.join(up.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("up", "a").alias("a"), "b")
         moved = moved.join(up.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("up", "b").alias("b"))
-        links = cut(moved.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        before, links = links, cut(moved.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        release(before)
     else:
         raise RuntimeError(f"links remain after {ROUNDS} rounds")
     if not parents:

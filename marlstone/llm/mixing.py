@@ -28,7 +28,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import cut, table
+from marlstone.llm.common import cut, release, table
 
 ROUNDS = 4
 TOLERANCE = 0.002
@@ -126,10 +126,13 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
     start = cut(start, "mix-cells")
     few = {d: start.select(d).distinct().count() <= BROADCAST_ROWS for d in DIMENSIONS}
     for part in PARTS:
-        out, before, spent = start.withColumn("ratio", F.lit(part * share)), float("inf"), part * share * total
+        out = first = start.withColumn("ratio", F.lit(part * share))
+        before, spent = float("inf"), part * share * total
         while True:
             for _ in range(ROUNDS):
-                out = cut(_round(out, spent, few), "mix-round")
+                last, out = out, cut(_round(out, spent, few), "mix-round")
+                if last is not first:
+                    release(last)
             left, fullest = error(out, spent)
             if left <= tolerance or left > STALLED * before:
                 break

@@ -4,13 +4,16 @@ Each line with a word has the features of ``features``. A linear chain of the tw
 Viterbi decoding finds the best sequence, and a document is kept if at least ``LEAST_SHARE`` of its words stand in content
 lines. Documents that fail the base rules are not kept.
 
-The field is fitted on a sample of about ``SAMPLE`` labelled documents. Labels are of documents: at first every line of a
+The field is fitted on a sample of about ``SAMPLE`` labelled documents, fewer if their texts would exceed ``SAMPLE_CHARS``
+characters, and none longer than a ``LONGEST``-th of that. Labels are of documents: at first every line of a
 good document is content and every line of a bad one boilerplate; then, ``ROUNDS`` times, the lines of bad documents take the
 labels that the fitted field decodes for them. Everything but the fit reads all documents, and whole texts.
 
 Defined cases: null, empty and blank texts have no words, fail the base rules and are not kept; without labels of both
-kinds every document that passes the base rules is kept; repeated rows are a row each; null ids pass through; an empty
-table gives an empty result. Extra columns are ignored.
+kinds every document that passes the base rules is kept; of equally probable labels boilerplate
+wins; a share of exactly ``LEAST_SHARE`` is kept; texts of any length are judged whole; repeated rows are a row each; a
+document with several labels has the largest; null ids pass through; an empty table gives an empty result. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import table
+from marlstone.llm.common import cut, table
 
 SAMPLE = 1000
+#: Characters of the sample's texts at most; a longer text than a LONGEST-th of them is not fitted on.
+SAMPLE_CHARS = 64_000_000
+LONGEST = 64
 #: Lines of a sequence in the fit; longer documents are several sequences there. Decoding has whole documents.
 FIT_LINES = 48
 EPOCHS = 60
@@ -188,14 +194,20 @@ def content_share(text: bytes, field: Field | None) -> float:
     return 1.0 if field is None else float(sizes[field.decode(x) == 1].sum() / sizes.sum())
 
 
-def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """About ``sample`` labelled documents: their texts and quality."""
-    rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
+    """About ``sample`` labelled documents of ``chars`` characters at most: their texts and quality."""
+    rows = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = min(1.0, sample / max(rows.count(), 1))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1)).select(F.col("doc_id").alias("__ms_id"), "quality")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)).alias("__ms_draw")
+    rows = rows.select(F.col("doc_id").alias("__ms_id"), "quality", drawn).where(F.col("__ms_draw") < int(share * (1 << 20)) + (share == 1))
     # A bounded sample, so it is the side that is broadcast.
-    found = docs.select(F.col(id_col).alias("__ms_doc"), F.col(text_col).alias("__ms_text")).join(F.broadcast(rows), F.col("__ms_doc") == F.col("__ms_id")).orderBy("__ms_id").select("__ms_text", "quality").collect()
-    return [r[0] for r in found], [r[1] for r in found]
+    found = docs.select(F.col(id_col).alias("__ms_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__ms_text")).join(F.broadcast(rows), F.col("__ms_doc") == F.col("__ms_id"))
+    found = cut(found.where(F.char_length("__ms_text") <= chars // LONGEST).select("__ms_id", "__ms_draw", "__ms_text", "quality"), "quality-sample")
+    size = found.agg(F.sum(F.char_length("__ms_text")).alias("n"), F.max("__ms_draw").alias("top")).first()
+    if size["n"] and size["n"] > chars:
+        found = found.where(F.col("__ms_draw") <= int(size["top"] * chars / size["n"]))
+    taken = found.orderBy("__ms_id", F.xxhash64("__ms_text"), "__ms_text").select("__ms_text", "quality").collect()
+    return [r[0] for r in taken], [r[1] for r in taken]
 
 
 def judge(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SHARE) -> DataFrame:
