@@ -56,6 +56,10 @@ class NoOcr:
         return [None] * len(images)
 
 
+_RUN = re.compile(r"[㐀-鿿]+|[^\W_]+|[^\w\s]|_")
+_HAN = re.compile("[㐀-鿿]")
+
+
 class WordSegmenter:
     """ASCII words, and Han runs cut by a dictionary (longest match) or, without one, into pairs of characters."""
 
@@ -64,8 +68,11 @@ class WordSegmenter:
         self.longest = max(map(len, dictionary), default=2)
 
     def segment(self, text: str) -> list[str]:
+        runs = _RUN.findall(text or "")
+        if not _HAN.search(text or ""):
+            return runs
         out: list[str] = []
-        for run in re.findall(r"[㐀-鿿]+|[^\W_]+|[^\w\s]|_", text or ""):
+        for run in runs:
             if not "㐀" <= run[0] <= "鿿" or len(run) == 1:
                 out.append(run)
             elif self.dictionary:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -66,6 +69,27 @@ def sessions(df: DataFrame, gap: str, by: tuple[str, ...], late: str | None = No
     return out.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *by, *aggs)
 
 
+def joined(left: DataFrame, right: DataFrame, on: Column, within: Column, late: str, how: str = "inner", left_time: str = "ts", right_time: str = "at") -> DataFrame:
+    """Two streams (or tables) joined by a key condition and a bound between their event times, so that state can be let go."""
+    sides = event_time(left, left_time).withWatermark(left_time, late), event_time(right, right_time).withWatermark(right_time, late)
+    return sides[0].join(sides[1], on & within, how)
+
+
+def running(df: DataFrame, by: str, value: str) -> DataFrame:
+    """A stateful operator: per key, after each micro-batch in which it had rows, its number of rows and sum so far."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        for batch in batches:
+            n, total = n + len(batch), total + float(batch[value].fillna(0).sum())
+        state.update((n, total))
+        yield pd.DataFrame({by: [key[0]], "n": [n], "total": [total]})
+
+    kind = df.schema[by].dataType.simpleString()
+    return df.select(by, F.col(value).cast("double").alias(value)).groupBy(by).applyInPandasWithState(step, f"{by} {kind}, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
+
+
 def throttled(rate: float):
     """Wraps an embedder's ``embed`` so that a task makes at most ``rate`` calls a second."""
 

@@ -1,12 +1,14 @@
 import io
+import sqlite3
 import struct
 import zipfile
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators.hooks import ByteEmbedder
-from marlstone.sources import attachments, files, tables
+from marlstone.sources import attachments, databases, files, tables
 from marlstone.streaming import embedding
 
 
@@ -108,3 +110,43 @@ def test_stream_windows(spark, tmp_path, sf):
     want = embedding.windowed(events, "1 hour", by=("event_type",), **agg)
     assert {tuple(r) for r in spark.table("w").collect()} == {tuple(r) for r in want.collect()}
     assert embedding.windowed(events, "1 hour", "30 minutes", **agg).agg(F.sum("n")).first()[0] == 2 * events.count()
+
+
+def test_sqlite_and_workbooks(spark, tmp_path):
+    for k in range(2):
+        con = sqlite3.connect(f"{tmp_path}/d{k}.db")
+        con.execute('CREATE TABLE "items" (id INTEGER, name TEXT, price REAL, note BLOB)')
+        con.executemany("INSERT INTO items VALUES (?, ?, ?, ?)", [(i, f"n{i}", i / 4, None if i % 2 else b"raw") for i in range(k, k + 3)])
+        con.commit()
+        con.close()
+    got = databases.sqlite_table(spark, f"file://{tmp_path}/*.db", "items", "id long, name string, price double, note string").drop("path").collect()
+    assert sorted(tuple(r) for r in got if r["note"] is None) == [(1, "n1", 0.25, None), (1, "n1", 0.25, None), (3, "n3", 0.75, None)]
+    assert len(got) == 6 and {r["note"] for r in got} == {None, "raw"}
+    with pytest.raises(Exception, match="no such table"):
+        databases.sqlite_table(spark, f"file://{tmp_path}/d0.db", "none", "id long").collect()
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(f"{tmp_path}/b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="First"/></sheets></workbook>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>name</t></si><si><r><t>ri</t></r><r><t>ch</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>1.5</v></c></row><row r="3"><c r="B3" t="s"><v>1</v></c><c r="C3" t="inlineStr"><is><t>in</t></is></c></row><row r="4"/></sheetData></worksheet>')
+    rows = databases.workbook_rows(spark, f"file://{tmp_path}/*.xlsx").drop("path").collect()
+    assert [tuple(r) for r in rows] == [("First", 1, ["name", None, "1.5"]), ("First", 3, [None, "rich", "in"])]
+
+
+def test_stream_join_and_state(spark, sf, tmp_path):
+    events = tables.parquet(spark, sf, "events").select("event_id", "user_id", "ts", "value")
+    events.where("event_id % 2 = 0").repartition(3).write.parquet(f"{tmp_path}/a")
+    events.where("event_id % 2 = 1").repartition(3).write.parquet(f"{tmp_path}/b")
+    read = lambda x: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{x}")
+    right = lambda df: df.select(F.col("user_id").alias("other"), F.col("ts").alias("at"), F.col("event_id").alias("right_id"))
+    near = F.col("at").between(F.col("ts"), F.col("ts") + F.expr("INTERVAL 6 HOURS"))
+    how = lambda a, b: embedding.joined(a, right(b), F.col("user_id") == F.col("other"), near, "400 days").select("event_id", "right_id")
+    q = how(read("a"), read("b")).writeStream.format("memory").queryName("ms_joined").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    want = how(spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b"))
+    assert sorted(map(tuple, spark.table("ms_joined").collect())) == sorted(map(tuple, want.collect())) and want.count() > 0
+    q = embedding.running(read("a"), "user_id", "value").writeStream.format("memory").queryName("ms_running").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    last = spark.table("ms_running").groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
+    want = spark.read.parquet(f"{tmp_path}/a").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    assert {r["user_id"]: (r["n"], round(r["total"], 6)) for r in last.collect()} == {r["user_id"]: (r["n"], round(r["total"], 6)) for r in want.collect()}

@@ -1,10 +1,11 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import vector as V
-from marlstone.operators import vector
+from marlstone.operators import ivf, vector
 from marlstone.operators.hooks import ByteEmbedder
 
 
@@ -68,3 +69,35 @@ def test_many_queries(spark):
     for q in queries.collect():
         one = [r["id"] for r in vector.search(df, q["query_vector"], 2).collect()]
         assert one == [many[q["query_id"], k] for k in (1, 2)]
+
+
+def test_ivf(spark, tmp_path):
+    """Recall of ten nearest against the exact scan over a stated query set, ids divisible by 50; all rows are indexed."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    extra = spark.createDataFrame([(100_000, [0.0] * 64), (100_001, [1.0, 2.0]), (100_002, None)], "id long, embedding array<float>")
+    index = ivf.build(rows.unionByName(extra), f"file://{tmp_path}/ivf", 16)
+    assert index.table(spark).count() == rows.count() + 3 and index.table(spark).select("list").distinct().count() <= 17
+    queries = rows.where("id % 50 = 0").limit(8).collect()
+    exact = {q["id"]: {r["id"] for r in vector.search(rows, list(q["embedding"]), 10).collect()} for q in queries}
+    recall = lambda probes: sum(len(exact[q["id"]] & {r["id"] for r in index.search(spark, list(q["embedding"]), 10, probes).collect()}) for q in queries) / (10 * len(queries))
+    assert recall(None) >= 0.9 and recall(16) == 1.0 and index.probes < 16
+    assert [r["id"] for r in index.search(spark, [1.0, 2.0], 1).collect()] == [100_001]
+    assert ivf.build(rows.limit(0), f"file://{tmp_path}/empty", 4).search(spark, [1.0], 3).count() == 0
+
+
+def test_ivf_of_clusters():
+    """Where vectors have clusters, few lists are enough."""
+    rng = np.random.default_rng(2)
+    sample = vector._unit(np.repeat(rng.normal(size=(20, 16)), 50, axis=0) + 0.05 * rng.normal(size=(1000, 16)))
+    assert ivf.probes_for(sample, ivf.centroids(sample, 20)) <= 2
+
+
+def test_search_many_equals_search(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, rng.normal(size=4).round(1).tolist()) for k in range(300)] + [(300, [0.0] * 4), (301, [1.0]), (302, None), (303, [])] + [(400 + k, [1.0, 1.0, 1.0, 1.0]) for k in range(30)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(5)
+    asked = [("a", [1.0, 1.0, 1.0, 1.0]), ("b", rows[3][1]), ("c", [1.0]), ("d", [0.0] * 4)]
+    got = vector.search_many(df, spark.createDataFrame(asked, "query_id string, query_vector array<double>"), 7, block=2).collect()
+    for name, q in asked:
+        want = [(r["id"], round(r["score"], 9) + 0.0) for r in vector.search(df, q, 7).collect()]
+        assert [(r["id"], round(r["score"], 9) + 0.0) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == name] == want
