@@ -470,7 +470,7 @@ def html_to_text(spark, sf_dir):
     return parquet(spark, sf_dir, "pages").select("page_id", files.html_column(F.col("html")).alias("text"))
 
 
-@query()
+@query("SELECT CASE WHEN text IS NULL THEN 'failed' ELSE 'completed' END AS embedding_status, count(*) AS n FROM documents GROUP BY 1")
 def embed_backlog(spark, sf_dir):
     rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit(None).cast("array<float>").alias("embedding"), F.lit(collections.PENDING).alias("embedding_status"))
     done = streaming.embed_pending(rows, hooks.ByteEmbedder(16))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions import json as J
 from marlstone.functions import text as X
 from marlstone.functions import vector as V
-from marlstone.operators import collections, fulltext, graph, hooks, rag, vector
+from marlstone.operators import collections, fulltext, graph, hooks, ivf, rag, vector
+from marlstone.session import remove_at_exit, shared_folder
 from marlstone.sources.tables import parquet
+from marlstone.streaming import embedding as streaming
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -501,3 +505,21 @@ def vec_insert_batch(spark, sf_dir):
     made, _ = rag.insert_batch(old, quads, docs, hooks.ByteEmbedder(4))
     shown = F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x.cast("double"))), " ")
     return made.select(shown.alias("v"), F.col("id").cast("long").alias("doc_id"), F.col("embedding_status").alias("status"))
+
+
+@query(f"SELECT vec_id, label, round({_TO0}, 6) AS score FROM embeddings ORDER BY {_TO0} DESC, vec_id LIMIT 10")
+def vec_ivf_all_lists(spark, sf_dir):
+    """Through the approximate index with all lists probed, which finds what the exact scan does."""
+    path = f"{shared_folder(spark)}/marlstone-ivf-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    remove_at_exit(spark, path)
+    index = ivf.build(_vectors(spark, sf_dir), path, 8, "vec_id")
+    return index.search(spark, _asked(spark, sf_dir), 10, 8).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT a.event_id, b.event_id AS right_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR""")
+def events_joined_within(spark, sf_dir):
+    """Purchases of a click's user within six hours, by the join that streams use."""
+    events = parquet(spark, sf_dir, "events")
+    right = events.where("event_type = 'purchase'").select(F.col("user_id").alias("other"), F.col("ts").alias("at"), F.col("event_id").alias("right_id"))
+    near = F.col("at").between(F.col("ts"), F.col("ts") + F.expr("INTERVAL 6 HOURS"))
+    return streaming.joined(events.where("event_type = 'click'"), right, F.col("user_id") == F.col("other"), near, "1 day").select("event_id", "right_id")
