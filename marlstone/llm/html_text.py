@@ -11,7 +11,8 @@ blocks in them, holds the article. The smallest density on the path from the bod
 beside that path belong to the article if they reach it. Where a page has no links the logarithm grows with a node's
 size, so a subtree also belongs to it if its characters outside links, by tag, reach the smallest such number on the path;
 neither bound takes more of an article away the longer it is. Within an article or main element round the node the
-threshold is zero, that is, what is more than links and named parts stays, and so do headings. Last, subtrees that count as
+threshold is zero, that is, what is more than links and named parts stays, and so do headings; and so it is where the
+body itself is the node. Last, subtrees that count as
 links by their name, not by being links, are taken out of what was chosen if they fall short of the threshold.
 
 Names that say less, a class with such a word among others, and ids, which are headings' slugs as often, only set a subtree
@@ -286,6 +287,8 @@ def choose(nodes: list[Node]) -> None:
     plain = min((_plain(n) for n in inner), default=0.0)
     best.keep = True
     if best.tag in ("#root", "html", "body"):
+        for n in next((n for n in nodes if n.tag == "body"), best).children:  # links alone are no article here either
+            n.drop = n.drop or (best.gathered > 0 and n.density <= 0 and n.tag in BLOCK and n.tag not in HEADINGS and n.chars > 0)
         for n in nodes[1:]:
             n.drop = n.drop or n.parent.drop or (n.aside and not n.parent.aside and (n.named > BY_ID or 2 * n.link_chars > n.chars))
     for n in path[1:]:

@@ -111,6 +111,12 @@ def test_nothing_else_is_dropped():
     assert main_text(page(f"<article>{BODY}{quote}<form><p>Mail <input></p></form></article>")) == WANT + "\nSaid so.\nA. Author"
 
 
+def test_article_in_the_body_itself():
+    """Paragraphs by line breaks; what is links alone stays out, wherever the article is no element of its own."""
+    assert main_text(page(f"<div>{PARTS[0]}<br><br>{PARTS[2]}</div><div><a href=1>Home</a><a href=2>News</a></div>")) == f"{PARTS[0]} {PARTS[2]}"
+    assert main_text(page("<div><a href=1>Only</a> <a href=2>links</a></div>")) == "Only links"
+
+
 @pytest.mark.parametrize(
     "html",
     ["<a " * 330_000, '<a ">"' * 160_000, "<![CDATA[" * 110_000, "<b>" * 9000 + "</i>" * 200_000, "<i><div>" + "<b>" * 30_000 + "</i>" * 200_000, "<div>" * 50_000 + "<li></li>" * 80_000, "<p>" * 100_000, "<div class='ad'>x" * 60_000, "<a class='" * 100_000, "<a ='" * 200_001, "&#" + "9" * 1_000_000 + ";", "&#x" + "f" * 1_000_000, "<textarea>a</textarea" * 48_000, "<" * 1_000_000, "<h1><div>x" * 50_000],
@@ -165,6 +171,8 @@ def brute_article(body):
     plain = {n: (n.chars() - n.link_chars()) / max(1, len(n.below())) for n in nodes}
     threshold, least = min(of[n] for n in path), min(plain[n] for n in path)
     kept = {best}
+    if best is body:
+        kept = {c for c in body.inside if of[c] > 0 or c.tag == "a"}
     for n in path[1:]:
         kept |= {c for c in n.inside if c not in path and c.chars() and (of[c] >= threshold or plain[c] >= least > 0)}
     return "\n".join(x for n in nodes if n in kept for x in n.leaves())
