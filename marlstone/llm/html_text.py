@@ -288,7 +288,7 @@ def choose(nodes: list[Node]) -> None:
     best.keep = True
     if best.tag in ("#root", "html", "body"):
         for n in next((n for n in nodes if n.tag == "body"), best).children:  # links alone are no article here either
-            n.drop = n.drop or (best.gathered > 0 and n.density <= 0 and n.tag in BLOCK and n.tag not in HEADINGS and n.chars > 0)
+            n.drop = n.drop or (best.chars > best.link_chars and n.density <= 0 and n.tag in BLOCK and n.tag not in HEADINGS and n.chars > 0)
         for n in nodes[1:]:
             n.drop = n.drop or n.parent.drop or (n.aside and not n.parent.aside and (n.named > BY_ID or 2 * n.link_chars > n.chars))
     for n in path[1:]:
