@@ -63,8 +63,9 @@ def _split(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     maybe = cut(probed.where("__ms_maybe"), "dedup-maybe")
     order = F.struct((-F.col(_LEN)).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col(_ROW).alias("r"))
     groups = cut(maybe.groupBy(_KEY).agg(F.count(F.lit(1)).alias("__ms_size"), F.min(order).alias("__ms_best")), "dedup-groups")
-    # Both sides are tables, so both are shuffled, and a hot hash can be split.
-    return probed.where("NOT __ms_maybe"), maybe.join(groups, _KEY)
+    # By their counted size groups are broadcast. Else both sides are shuffled and merged, so that a hot hash can be split.
+    side = F.broadcast(groups) if 2 * ROW_BYTES * groups.count() <= BROADCAST_BYTES else groups.hint("merge")
+    return probed.where("NOT __ms_maybe"), maybe.join(side, _KEY)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
