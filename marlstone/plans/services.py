@@ -485,7 +485,7 @@ def vec_media(spark, sf_dir):
     return vector.search_media(rows, asked, asked, 8, key="vec_id").select("vec_id", "source", F.round("score", 6).alias("score"))
 
 
-@query("""SELECT a.vec_id, round(CASE WHEN a.vec_id % 5 = 0 THEN 0.0 ELSE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END, 6) AS score, len(a.embedding) AS size, round(a.embedding[1], 5) AS first
+@query("""SELECT a.vec_id, round(CASE WHEN a.vec_id % 5 = 0 THEN 0.0 ELSE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) END, 6) AS score, len(a.embedding) AS size, round(a.embedding[1]::DOUBLE, 5) AS first
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
 def vec_pairs(spark, sf_dir):
     """Cosine of neighbours by id, through a JSON list and packed floats; other lengths compare as 0."""
