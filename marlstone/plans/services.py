@@ -390,13 +390,13 @@ def doc_append(spark, sf_dir):
     return out.groupBy("id").agg(F.max("doc_id").alias("doc_id")).select(F.when(F.length("id") == 36, "made").otherwise(F.col("id")).alias("id"), "doc_id")
 
 
-@query("SELECT doc_id AS id, text AS content, NULL::INTEGER AS stars FROM documents")
+@query("SELECT doc_id AS id, text AS content, true AS missing FROM documents")
 def doc_evolve(spark, sf_dir):
     """A column that the schema has and the table has not comes as null."""
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("content", T.StringType()), T.StructField("stars", T.IntegerType())])
-    return collections.conform(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang"), schema)
+    return collections.conform(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang"), schema).select("id", "content", F.col("stars").isNull().alias("missing"))
 
 
 # -- rules of the chunker, as columns --
