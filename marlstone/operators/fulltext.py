@@ -12,6 +12,7 @@ from marlstone.functions import json as J
 from marlstone.functions import text as X
 from marlstone.operators.fusion import positional
 from marlstone.operators.hooks import Segmenter, segment_column
+from marlstone.session import cut
 
 K1, B = 1.2, 0.75
 
@@ -30,17 +31,18 @@ def index(df: DataFrame, key: str = "id", content: str = "content", terms: Calla
 
 def _times(tokens: str, word: str) -> Column:
     """How often a word is in an array of tokens."""
-    return F.size(F.filter(tokens, lambda x: x == word)).cast("long")
+    return (F.size(tokens) - F.size(F.array_remove(F.col(tokens), word))).cast("long")
 
 
 def bm25(df: DataFrame, query_terms: list[str], key: str = "id", content: str = "content", k: int | None = SEARCH_LIMIT, terms: Callable[[Column], Column] = X.ascii_tokens) -> DataFrame:
     """BM25 scores of documents that hold a term.
 
-    One scan: each document's length and term frequencies are array expressions over its own tokens, so nothing but
-    matching (key, term) counts is shuffled. Corpus statistics are a row for each term.
+    One scan of the texts: each document's length and term frequencies are array expressions over its own tokens, and are
+    written as a narrow table that statistics and scores read. Corpus statistics are a row for each term.
     """
     wanted = sorted(set(query_terms))
     tokens = df.select(key, terms(F.col(content)).alias("__t")).select(key, F.size("__t").cast("long").alias("len"), *[_times("__t", w).alias(f"__tf{i}") for i, w in enumerate(wanted)]).where("len > 0")
+    tokens = cut(tokens, "bm25")
     tf = [F.col(f"__tf{i}") for i in range(len(wanted))]
     stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(x > 0).alias(f"df{i}") for i, x in enumerate(tf)]).first()
     if not stats["n"] or not wanted:
