@@ -139,9 +139,11 @@ def range_join_bands(spark, sf_dir):
 
 @query("SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) WHERE c_acctbal > 9000")
 def lateral_top_orders(spark, sf_dir):
-    parquet(spark, sf_dir, "customer").createOrReplaceTempView("ms_customer")
-    parquet(spark, sf_dir, "orders").createOrReplaceTempView("ms_orders")
-    return spark.sql("SELECT c_custkey, o_orderkey FROM ms_customer, LATERAL (SELECT o_orderkey FROM ms_orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) WHERE c_acctbal > 9000")
+    """The order is the window's own: Spark turns a LATERAL with ORDER BY and LIMIT into row numbers over a window without one."""
+    c, o = parquet(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_custkey"), parquet(spark, sf_dir, "orders").where("o_custkey IS NOT NULL")
+    rank = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc_nulls_last("o_totalprice"), F.asc_nulls_last("o_orderkey")))
+    best = o.select("o_custkey", "o_orderkey", rank.alias("r")).where("r <= 2")
+    return c.join(best, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey")
 
 
 @query("WITH RECURSIVE t(n, f) AS (SELECT 1, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t")
