@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from marlstone.plans.catalogue import ORACLE, QUERIES
 
 
@@ -33,3 +35,19 @@ def test_lateral_orders_within_its_window(spark, tmp_path):
     folder = _tables(spark, tmp_path, customer=([(0, 9500.0), (1, 9500.0), (1, 9500.0), (2, 100.0), (3, None), (4, 9001.0)], "c_custkey long, c_acctbal double"), orders=(orders, "o_orderkey long, o_custkey long, o_totalprice double"))
     assert len(_same(spark, folder, "lateral_top_orders", "customer", "orders")) == 8
     assert re.search(r"row_number\(\) windowspecdefinition\(o_custkey[^,]*, o_totalprice[^,]* DESC NULLS LAST, o_orderkey", _plan(QUERIES["lateral_top_orders"](spark, folder)))
+
+
+def test_bands_are_broadcast_in_shares(spark, tmp_path, monkeypatch):
+    """Events are never shuffled, whatever the threshold and however many the bands."""
+    from marlstone.plans import inherited
+
+    events = [(k, None if k % 9 == 0 else k * 0.125) for k in range(400)]
+    folder = _tables(spark, tmp_path, events=(events, "event_id long, value double"), supplier=([(k, None if k % 8 == 0 else k * 11.5 - 100) for k in range(300)], "s_suppkey long, s_acctbal double"))
+    monkeypatch.setattr(inherited, "BAND_ROWS", 70, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _same(spark, folder, "range_join_bands", "events", "supplier")
+        plan = _plan(QUERIES["range_join_bands"](spark, folder))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("BroadcastHashJoin") == 4 and "Exchange hashpartitioning" not in plan
