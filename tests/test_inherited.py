@@ -51,3 +51,21 @@ def test_bands_are_broadcast_in_shares(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("BroadcastHashJoin") == 4 and "Exchange hashpartitioning" not in plan
+
+
+def test_distinct_keys_keep_no_sketches(spark, tmp_path):
+    rows = [(f, k % 40 if k % 6 else None, None if k % 17 == 0 else float(k * 7919 % 1009)) for k in range(999) for f in ("A", "N", None)[: 1 + k % 3]]
+    folder = _tables(spark, tmp_path, lineitem=(rows, "l_returnflag string, l_partkey long, l_extendedprice double"))
+    df = QUERIES["approximate_aggregates"](spark, folder)
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, [("A", True, True), ("N", True, True), (None, True, True)]))
+    assert "percentile(" not in _plan(df)
+
+
+def test_exact_medians(spark):
+    from marlstone.plans.inherited import exact_medians
+
+    of = {"a": [3.0], "b": [1.0, 2.0], "c": [float(k * k % 977) for k in range(5000)], "d": [5.0] * 100 + [7.0] * 100, None: [float(k) for k in range(7)], "e": [None]}
+    rows = spark.createDataFrame([(k, v) for k, vs in of.items() for v in vs], "k string, v double").repartition(3)
+    sketches = rows.selectExpr("k", "v").groupBy("k").agg(F.percentile_approx("v", [0.49, 0.5, 0.51], 10_000).alias("q"), F.count("v").alias("n"))
+    got = {r["k"]: r["median"] for r in exact_medians(rows, sketches, "k", "v").collect()}
+    assert got == {r["k"]: r["m"] for r in rows.groupBy("k").agg(F.expr("percentile(v, 0.5)").alias("m")).where("m IS NOT NULL").collect()}
