@@ -23,8 +23,12 @@ def triples(df: DataFrame) -> DataFrame:
 
 
 def link(quads: DataFrame, new: DataFrame) -> DataFrame:
-    """Insert or ignore."""
-    fresh = new.select(SPO).dropDuplicates(SPO).join(quads.select(SPO), SPO, "left_anti")
+    """Insert or ignore. A few new triples are looked for where the others are; only many are joined by a shuffle."""
+    fresh, known = new.select(SPO).dropDuplicates(SPO), quads.select(SPO)
+    side = _side(fresh)
+    if side is not fresh:
+        known = F.broadcast(known.join(side, SPO, "left_semi").dropDuplicates(SPO))  # no more rows than fresh
+    fresh = fresh.join(known, SPO, "left_anti")
     if "created_at" in quads.columns:
         fresh = fresh.withColumn("created_at", F.unix_timestamp())
     return quads.unionByName(fresh, allowMissingColumns=True)

@@ -10,7 +10,7 @@ from marlstone.functions import text as X
 from marlstone.functions import vector as V
 from marlstone.operators import chunk, collections, fulltext, fusion, graph, gremlin, hooks, vector
 from marlstone.plans import inherited, services
-from marlstone.session import spread
+from marlstone.session import cut, spread
 from marlstone.sources import files
 from marlstone.sources.tables import parquet
 from marlstone.streaming import embedding as streaming
@@ -322,7 +322,8 @@ def graph_entity_documents(spark, sf_dir):
 
 @query(f"WITH {_T} SELECT * FROM (SELECT s AS subject, p AS predicate, o AS object FROM t WHERE NOT (s LIKE 'c%' AND p = 'PLACED') UNION SELECT 'c1', 'KNOWS', 'c2')")
 def graph_link_unlink(spark, sf_dir):
-    quads = _quads(spark, sf_dir)
+    # Cut, so that no task holds the set of triples, their order and what is taken from them at once.
+    quads = cut(_quads(spark, sf_dir), "quads")
     gone = quads.where("predicate = 'PLACED'")
     return graph.link(graph.unlink(quads, gone), spark.createDataFrame([("c1", "KNOWS", "c2"), ("c1", "KNOWS", "c2")], "subject string, predicate string, object string")).select("subject", "predicate", "object")
 

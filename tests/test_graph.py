@@ -99,3 +99,22 @@ def test_extraction_and_export(spark):
     assert graph.appears_count(q).first()["n"] == 1
     n, links = graph.view_paths(graph.find_path(q, "E", "F"))
     assert n.count() == 2 and links.count() == 1 and graph.view(q)[1].count() == 4
+
+
+def test_few_new_triples_shuffle_no_others(spark):
+    quads = spark.createDataFrame([("a", "P", "b"), ("a", "P", "c"), (None, "P", "c")], "subject string, predicate string, object string").repartition(3)
+    new = spark.createDataFrame([("a", "P", "c"), ("a", "P", "c"), ("x", "P", "y"), ("x", "P", "y"), (None, "P", "c")], quads.schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        linked = graph.link(quads, new)
+        assert sorted(map(repr, map(tuple, linked.collect()))) == sorted(map(repr, [("a", "P", "b"), ("a", "P", "c"), (None, "P", "c"), (None, "P", "c"), ("x", "P", "y")]))
+        assert "SortMergeJoin" not in linked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_triples_are_a_table_before_they_are_unlinked(spark, sf):
+    from marlstone.plans.catalogue import QUERIES
+
+    plan = QUERIES["graph_link_unlink"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "orders" not in plan and "o_orderkey" not in plan
