@@ -61,3 +61,16 @@ def test_frame(spark):
     got = chunk.chunk_documents(df, ChunkConfig(0.1, 50, 1, 2)).collect()
     assert [r["content"] for r in sorted(got, key=lambda r: r["chunk_no"])] == split_text(ENGLISH, ChunkConfig(0.1, 50, 1, 2))
     assert {r["extra"] for r in got} == {7}
+
+
+def test_chunks_leave_a_task_in_small_batches(spark, monkeypatch):
+    """Chunks of one batch of texts are not held together; rows, columns and types stay."""
+    text = "One sentence is here. " * 30 + "\n|a|b|\n|--|--|\n|1|2|\n" + "Another follows that. |x|y|\n" * 9
+    rows = [(k, None if k % 7 == 0 else " " if k % 5 == 0 else text[k:], k * 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, content string, n int").coalesce(1)
+    monkeypatch.setattr(chunk, "OUT_CHARS", 3000, raising=False)
+    out = chunk.chunk_documents(df)
+    assert out.dtypes == [("id", "bigint"), ("content", "string"), ("n", "int"), ("chunk_no", "int")]
+    want = [(k, c, n, i) for k, t, n in rows for i, c in enumerate(chunk.split_text(t))]
+    assert [tuple(r) for r in out.collect()] == want
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
