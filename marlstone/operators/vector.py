@@ -63,8 +63,8 @@ def search_many(df: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, key: s
 
     def scan() -> DataFrame:
         ids = df.sparkSession.createDataFrame([(i, q["query_id"]) for i, q in enumerate(batch)], f"at int, query_id {queries.schema['query_id'].dataType.simpleString()}")
-        shared = df.sparkSession.sparkContext.broadcast([list(q["query_vector"]) for q in batch])
-        best = rows.mapInArrow(_nearest(shared, k), f"at int, key {kind}, score double").join(F.broadcast(ids), "at")
+        shared = df.sparkSession.sparkContext.broadcast(_by_length([q["query_vector"] for q in batch]))
+        best = rows.mapInArrow(_nearest(shared, len(batch), k), f"at int, key {kind}, score double").join(F.broadcast(ids), "at")
         return best.select("query_id", F.col("key").alias(key), "score").withColumn("rank", rank).where(F.col("rank") <= k)
 
     for q in queries.toLocalIterator():
@@ -82,27 +82,39 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(length > 0, length, 1.0)[:, None]
 
 
-def _nearest(queries, k: int):
+#: Scores that a task holds at once.
+SCORES = 1 << 20
+
+
+def _by_length(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors of queries, by length."""
+    asked: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        asked.setdefault(len(v), []).append(i)
+    return {n: (np.array(at), _unit(np.array([vectors[i] for i in at], np.float64).reshape(len(at), n))) for n, at in asked.items()}
+
+
+def _nearest(queries, count: int, k: int):
+    """The best k rows of each query in a task; rows are scored ``SCORES`` at a time, whatever the size of their batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, list[int]] = {}
-        for i, q in enumerate(queries.value):
-            asked.setdefault(len(q), []).append(i)
-        of = {n: (np.array(at), _unit(np.array([queries.value[i] for i in at], np.float64).reshape(len(at), n))) for n, at in asked.items()}
-        held: pa.Table | None = None
+        of, held = queries.value, None
+        floor = np.full(count, -np.inf)  # the k-th score of each query so far
 
         def best(found: pa.Table) -> pa.Table:
             """The best k of each query."""
             found = found.append_column("r", pc.round(found["score"], 12)).sort_by([("at", "ascending"), ("r", "descending"), ("key", "ascending")])
             at = found["at"].to_numpy()
-            first = np.searchsorted(at, at)
-            return found.filter(pa.array(np.arange(len(at)) - first < k)).drop_columns(["r"])
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            last = place == k - 1
+            floor[at[last]] = found["score"].to_numpy()[last]
+            return found.filter(pa.array(place < k)).drop_columns(["r"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        step = max(1, SCORES // max(count, 1))
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             v = batch.column("v")
             size = pc.list_value_length(v).to_numpy(zero_copy_only=False)
-            scores = np.zeros((batch.num_rows, len(queries.value)))
+            scores = np.zeros((batch.num_rows, count))
             for n in np.unique(size):
                 if n in of and n:
                     at, q = of[int(n)]
@@ -111,12 +123,15 @@ def _nearest(queries, k: int):
                     scores[np.ix_(mine, at)] = _unit(m) @ q.T
             scores = scores.round(12) + 0.0
             # Ties with the k-th stay until keys decide.
-            least = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(scores.shape[1], -np.inf)
-            row, col = np.nonzero(scores >= least)
-            new = pa.table({"at": pa.array(col.astype(np.int32)), "key": batch.column("key").take(pa.array(row)), "score": pa.array(scores[row, col])})
-            held = best(new if held is None else pa.concat_tables([held, new]))
+            good = scores >= floor
+            if len(scores) > k and np.count_nonzero(good) > 2 * k * count:
+                good &= scores >= np.partition(scores, -k, axis=0)[-k]
+            row, col = np.nonzero(good)
+            if len(row):
+                new = pa.table({"at": pa.array(col.astype(np.int32)), "key": batch.column("key").take(pa.array(row)), "score": pa.array(scores[row, col])})
+                held = best(new if held is None else pa.concat_tables([held, new]))
         if held is not None:
-            yield from held.to_batches()
+            yield from held.combine_chunks().to_batches(10_000)
 
     return run
 

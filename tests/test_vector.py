@@ -101,3 +101,26 @@ def test_search_many_equals_search(spark):
     for name, q in asked:
         want = [(r["id"], round(r["score"], 9) + 0.0) for r in vector.search(df, q, 7).collect()]
         assert [(r["id"], round(r["score"], 9) + 0.0) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == name] == want
+
+
+def test_scores_are_held_a_slice_at_a_time(monkeypatch):
+    """However large a batch is, and however many of its rows tie."""
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    held = []
+    real = np.zeros
+    monkeypatch.setattr(vector, "SCORES", 600, raising=False)
+    rng = np.random.default_rng(5)
+    rows = rng.integers(-2, 3, (500, 3)).astype(float)
+    asked = rng.integers(-2, 3, (20, 3)).astype(float)
+    monkeypatch.setattr(np, "zeros", lambda shape, *a, **b: held.append(np.prod(shape)) or real(shape, *a, **b))
+    run = vector._nearest(types.SimpleNamespace(value=vector._by_length(asked.tolist())), 20, 4)
+    batch = pa.RecordBatch.from_pydict({"key": list(range(500)), "v": rows.tolist()})
+    got = sorted((r["at"], r["key"]) for b in run(iter([batch])) for r in b.to_pylist())
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]
+    scores = (unit(rows) @ unit(asked).T).round(12)
+    assert got == sorted((q, k) for q in range(20) for k in sorted(range(500), key=lambda i: (-scores[i, q], i))[:4])
+    assert max(held) <= 600
