@@ -25,7 +25,7 @@ def triples(df: DataFrame) -> DataFrame:
 def link(quads: DataFrame, new: DataFrame) -> DataFrame:
     """Insert or ignore. A few new triples are looked for where the others are; only many are joined by a shuffle."""
     fresh, known = new.select(SPO).dropDuplicates(SPO), quads.select(SPO)
-    side = _side(fresh)
+    side = few(fresh)
     if side is not fresh:
         known = F.broadcast(known.join(side, SPO, "left_semi").dropDuplicates(SPO))  # no more rows than fresh
     fresh = fresh.join(known, SPO, "left_anti")
@@ -56,7 +56,7 @@ def steps_both(quads: DataFrame) -> DataFrame:
     return out.unionAll(quads.select(F.col("object").alias("node"), F.col("subject").alias("next"), *SPO))
 
 
-def _side(frontier: DataFrame) -> DataFrame:
+def few(frontier: DataFrame) -> DataFrame:
     """A frontier is broadcast only if a count shows it small."""
     return F.broadcast(frontier) if frontier.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frontier
 
@@ -127,7 +127,7 @@ def reachable(quads: DataFrame, seeds: DataFrame, depth: int = SUBGRAPH_DEPTH, e
     moves = steps_both(quads.where(~F.col("predicate").isin(*exclude)) if exclude else quads).select("node", "next")
     seen = frontier = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
     for d in range(1, depth + 1):
-        reached = moves.join(_side(frontier.select("node")), "node").select(F.col("next").alias("node")).distinct()
+        reached = moves.join(few(frontier.select("node")), "node").select(F.col("next").alias("node")).distinct()
         frontier = cut(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         if frontier.isEmpty():
             break
@@ -140,7 +140,7 @@ def subgraph(quads: DataFrame, seeds: DataFrame, depth: int = SUBGRAPH_DEPTH, ex
     depth = max(depth, 1)
     inner = cut(reachable(quads, seeds, depth - 1, exclude).select("node"), "inner")
     kept = quads.where(~F.col("predicate").isin(*exclude)) if exclude else quads
-    return steps_both(kept).join(_side(inner), "node").select(SPO).dropDuplicates(SPO)
+    return steps_both(kept).join(few(inner), "node").select(SPO).dropDuplicates(SPO)
 
 
 def subgraph_of_each(quads: DataFrame, seeds: DataFrame, depth: int = SUBGRAPH_DEPTH) -> DataFrame:
@@ -149,7 +149,7 @@ def subgraph_of_each(quads: DataFrame, seeds: DataFrame, depth: int = SUBGRAPH_D
     seen = frontier = cut(seeds.select(F.col("node").alias("seed"), "node").distinct(), "frontier")
     found = None
     for _ in range(max(depth, 1)):
-        crossed = cut(moves.join(_side(frontier), "node").select("seed", "next", *SPO), "crossed")
+        crossed = cut(moves.join(few(frontier), "node").select("seed", "next", *SPO), "crossed")
         found = crossed if found is None else found.unionByName(crossed)
         frontier = cut(crossed.select("seed", F.col("next").alias("node")).distinct().join(seen, ["seed", "node"], "left_anti"), "frontier")
         if frontier.isEmpty():
@@ -178,7 +178,7 @@ def find_path(quads: DataFrame, start: str, goal: str, max_depth: int = PATH_DEP
     moves = _having(quads, predicate).select(F.col("subject").alias("node"), F.col("object").alias("next")).distinct()
     seen = frontier = cut(spark.createDataFrame([(start, [start])], "node string, path array<string>"), "paths")
     for _ in range(max(max_depth or PATH_DEPTH, 1) - 1):
-        grown = moves.join(_side(frontier), "node").select(F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
+        grown = moves.join(few(frontier), "node").select(F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
         fresh = grown.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
         frontier = cut(fresh, "paths")
         hit = frontier.where(F.col("node") == goal).select("path")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from marlstone.config import APPEARS_IN, CONTEXT_TRIPLES, EMPTY_ANSWER, ENTITY_MATCH, ENTITY_TOP, HYBRID_WEIGHTS, RETRIEVE_LIMIT
 from marlstone.functions import json as J
 from marlstone.functions import text as X
+from marlstone.functions import vector as V
 from marlstone.operators import fulltext, graph, vector
 from marlstone.operators.fusion import additive, first_wins, rrf, weighted
 from marlstone.operators.hooks import ANSWER_PROMPT, EXTRACT_PROMPT, KEYWORD_PROMPT, Embedder, LanguageModel, Segmenter, complete_column
@@ -64,7 +65,9 @@ class KnowledgeBase:
     def _materialised(self, scores: DataFrame, limit: int, filters: dict | None = None) -> DataFrame:
         """The best scored ids with their documents; ids without a document are left out."""
         docs = self._filtered(filters)
-        return docs.join(scores, "id").orderBy(F.desc("score"), "id").limit(limit)
+        # The best are chosen by ids alone, so that contents are not shuffled.
+        best = docs.select("id").join(scores, "id").orderBy(F.desc("score"), "id").limit(limit).dropDuplicates(["id"])
+        return docs.join(F.broadcast(best), "id").orderBy(F.desc("score"), "id").limit(limit)
 
     def by_vector(self, query: str, limit: int, filters: dict | None = None, threshold: float | None = None) -> DataFrame:
         if self.embedder is None:
@@ -81,17 +84,27 @@ class KnowledgeBase:
         """Sum, over keywords, of 1 for each linked entity near the keyword and the cosine of vector hits; and the triples."""
         if self.quads is None:
             raise ValueError("keyword retrieval needs triples")
-        parts, triples = [], None
-        links = self.quads.where(F.col("predicate") == APPEARS_IN).select(F.col("subject").alias("node"), F.col("object").alias("id")).distinct()
-        for word in words:
+        nodes, triples = None, None
+        for i, word in enumerate(words):
             seed = self._seeds([word])
             near = graph.subgraph(self.quads, seed, 1, (APPEARS_IN,))
             triples = near if triples is None else triples.unionByName(near)
-            parts.append(links.join(graph.nodes_of(near, seed), "node").select("id", F.lit(1.0).alias("score")))
-            if self.embedder is not None:
-                parts.append(self.by_vector(word, limit, filters).select("id", "score"))
+            of = graph.nodes_of(near, seed).select(F.lit(i).alias("word"), "node")
+            nodes = of if nodes is None else nodes.unionByName(of)
+        links = self.quads.where(F.col("predicate") == APPEARS_IN).select(F.col("subject").alias("node"), F.col("object").alias("id"))
+        linked = links.join(graph.few(cut(nodes, "nodes")), "node").select("word", "node", "id").distinct()
+        parts = [linked.select("id", F.lit(1.0).alias("score"))]
+        if self.embedder is not None:
+            parts += self._by_vectors(words, limit, filters)
         return self._materialised(additive(parts), limit, filters), triples.dropDuplicates(graph.SPO)
 
+    def _by_vectors(self, words: list[str], limit: int, filters: dict | None) -> list[DataFrame]:
+        """(id, score) of each word's vector hits, from one scan of the documents."""
+        rows = vector.ready(self._filtered(filters))
+        scores = [V.cosine_to(F.col("embedding"), q).alias(f"s{i}") for i, q in enumerate(self.embedder.embed(words))]
+        scored = cut(rows.select("id", *scores), "scores")
+        return [vector.top_k(scored.select("id", F.col(f"s{i}").alias("score")), limit) for i in range(len(words))]
+
     # -- modes --
 
     def retrieve(self, query: str, mode: str = "hybrid", limit: int = RETRIEVE_LIMIT, filters: dict | None = None, threshold: float | None = None) -> DataFrame:
@@ -118,12 +131,12 @@ class KnowledgeBase:
         if mode == "graph":
             return self.by_graph(low + high or [query], limit, filters)
         if mode == "mix":
-            found = self._arm(low + high, limit, filters) if low + high else None
+            found = cut(self._arm(low + high, limit, filters), "hits") if low + high else None
             return found if found is not None and not found.isEmpty() else self._shaped(self.by_vector(query, limit, filters))
         arms = [self._arm(words, limit, filters) for words in (low, high) if words]
         if not arms:
             return self.naive_hybrid(query, limit, filters)
-        both = first_wins(arms) if len(arms) > 1 else arms[0]
+        both = cut(first_wins(arms) if len(arms) > 1 else arms[0], "hits")
         return self.naive_hybrid(query, limit, filters) if both.isEmpty() else both
 
     def _arm(self, words: list[str], limit: int, filters: dict | None) -> DataFrame:

@@ -82,3 +82,27 @@ def test_substrings(spark):
     assert fulltext.all_words(docs, "100 PERCENT").first()["score"] == 1.0
     assert fulltext.bm25(docs, ["nothing"]).count() == 0 and fulltext.bm25(docs.limit(0), ["a"]).count() == 0
     assert fulltext.substring_phrase(docs.withColumnRenamed("content", "data"), "100 p").first()["id"] == "2"
+
+
+def test_arms_choose_by_ids_and_run_once(spark, sf):
+    """Documents are scanned once for all keywords' vectors, and their texts are in no shuffle."""
+    from marlstone.operators import hooks
+    from marlstone.plans import services
+
+    kb = services._base(spark, sf)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, _ = kb.by_keywords(["Paris", "Capital", "City"], 5)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "zip_with" not in plan  # scores are a table already
+        joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(id" in line]
+        assert joins and not any("content" in line or "text" in line for line in joins)
+        physical = found._jdf.queryExecution().executedPlan().toString()
+        assert physical.count("text#") and "BroadcastHashJoin [id" in physical
+        for mode in ("mix", "hybrid"):
+            got = kb.retrieve(services.ASKED, mode)
+            assert "documents.parquet" not in got._jdf.queryExecution().executedPlan().toString()
+            assert got.count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert isinstance(kb.embedder, hooks.ByteEmbedder)
